@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, functions as F
 from docmill.llm.textkernel import column_bytes, row_slices
 
 BATCH_BYTES = 4 << 20
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 1_000_000  # about 200 MB a process
 LONGEST_KEPT_WORD = 64
 
 _encoders: dict[tuple, "Encoder"] = {}
@@ -74,19 +74,17 @@ class Encoder:
         if not self.by_word:
             return [[self.value(ids)] for ids in self._ids([t.decode() for t in texts])]
         split = [t.split() for t in texts]
-        fresh = set().union(*split).difference(self.table)
-        look = self.table
-        if fresh:
-            fresh = list(fresh)
+        get = self.table.get
+        out = [list(map(get, words)) for words in split]
+        holes = [i for i, values in enumerate(out) if None in values]
+        if holes:
+            fresh = list({w for i in holes for w, v in zip(split[i], out[i], strict=True) if v is None})
             new = dict(zip(fresh, map(self.value, self._ids([w.decode() for w in fresh])), strict=True))
-            if len(self.table) + len(new) <= TABLE_ENTRIES:
+            for i in holes:
+                out[i] = [new[w] if v is None else v for w, v in zip(split[i], out[i], strict=True)]
+            if len(self.table) < TABLE_ENTRIES:
                 self.table.update({w: v for w, v in new.items() if len(w) <= LONGEST_KEPT_WORD})
-                look = self.table if all(len(w) <= LONGEST_KEPT_WORD for w in fresh) else self.table | new
-                if look is self.table:
-                    return [list(map(look.__getitem__, words)) for words in split]
-            get = self.table.get
-            return [[v if (v := get(w)) is not None else new[w] for w in words] for words in split]
-        return [list(map(look.__getitem__, words)) for words in split]
+        return out
 
 
 def encoder(path: str, kind: str) -> Encoder:
