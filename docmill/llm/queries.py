@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import chat, decontam, packing, quality, secretscan, tokens
+from docmill.llm import chat, decontam, linededup, neardup, packing, quality, secretscan, tokens
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -35,6 +35,11 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths, findings, _ = secretscan.secret_findings(_table(spark, sf_dir, "documents"))
     found = secretscan.findings_by_path(paths, findings)
@@ -56,6 +61,17 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = linededup.dedup_lines(docs, min_chars=10)
+    return kept.select(
+        "doc_id",
+        F.col("_n_lines").alias("n_lines"),
+        F.col("_n_dropped").alias("n_dropped"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), window=10)
     return found.select(
@@ -78,7 +94,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op5_secret_scans, op7_benchmark_decontamination, op8_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op4_minhash_near_dedup, op5_secret_scans, op6_line_dedup, op7_benchmark_decontamination, op8_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -104,6 +120,15 @@ SELECT conv_id, count(*) AS n_turns,
   sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
   CAST(sum({len(chat.ROLE_OPEN + chat.ROLE_CLOSE + chat.TURN_END)} + {_escaped_length("role", True)} + {_escaped_length("text")}) AS BIGINT) AS formatted_chars
 FROM c GROUP BY conv_id""",
+    "op6_line_dedup": r"""
+WITH lines AS (
+  SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)),
+keyed AS (
+  SELECT doc_id, i, line, translate(regexp_replace(regexp_replace(line, '^[\x20\x09-\x0D]+', ''), '[\x20\x09-\x0D]+$', ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
+firsts AS (SELECT k, min(doc_id) AS first, count(DISTINCT doc_id) AS n FROM keyed WHERE length(k) >= 10 GROUP BY k),
+marked AS (SELECT d.*, coalesce(f.n >= 2 AND d.doc_id <> f.first, false) AS gone FROM keyed d LEFT JOIN firsts f ON d.k = f.k AND length(d.k) >= 10)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id""",
     "op7_benchmark_decontamination": r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
