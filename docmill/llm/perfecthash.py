@@ -24,7 +24,7 @@ class PerfectHash:
 
     @staticmethod
     def _slot(keys: np.ndarray, level: int, size: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level + 1) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(size)).astype(np.int64)
+        return (mix(keys + np.uint64((level + 1) * 0x9E3779B97F4A7C15 % 2**64)) % np.uint64(size)).astype(np.int64)
 
     @classmethod
     def build(cls, keys: np.ndarray) -> PerfectHash:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import chat, decontam, linededup, neardup, packing, quality, secretscan, tokens
+from docmill.llm import chat, decontam, linededup, lm, neardup, packing, quality, secretscan, tokens
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -35,6 +35,10 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, percent=85)
     return found.select("doc_id", "n_shingles", "component_id", "kept")
@@ -94,7 +98,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op4_minhash_near_dedup, op5_secret_scans, op6_line_dedup, op7_benchmark_decontamination, op8_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_minhash_near_dedup, op5_secret_scans, op6_line_dedup, op7_benchmark_decontamination, op8_best_fit_packing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
