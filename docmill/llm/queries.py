@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.llm import chat, decontam, linededup, lm, neardup, packing, quality, secretscan, tokens
+from docmill.llm import chat, decontam, linededup, lm, neardup, packing, quality, secretscan, suffixdedup, tokens
 
 WORD_BPE = "word_bpe_49k.json"
 
@@ -93,12 +93,17 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumn("piece", F.col("piece").cast("int"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffixdedup.drop_repeats(_table(spark, sf_dir, "documents"), span=50)
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_minhash_near_dedup, op5_secret_scans, op6_line_dedup, op7_benchmark_decontamination, op8_best_fit_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_token_counts, op2_chat_formatting, op3_lm_scoring, op4_minhash_near_dedup, op5_secret_scans, op6_line_dedup, op7_benchmark_decontamination, op8_best_fit_packing, op9_suffix_array_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
