@@ -530,7 +530,7 @@ def win_frame_range(t):
 
 @query(
     "SELECT event_id, round(covar_pop(value, user_id) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS cov, "
-    "round((value - first_value(value) OVER w) / ((epoch_us(ts) // 1000 - epoch_us(first_value(ts) OVER w) // 1000) / 3600000.0), 6) AS rate, "
+    "round((value - first_value(value) OVER w) / nullif((epoch_us(ts) // 1000 - epoch_us(first_value(ts) OVER w) // 1000) / 3600000.0, 0), 6) AS rate, "
     "(value + lag(value) OVER o) / 2 * (epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER o) // 1000) / 3600000.0 AS area FROM events "
     "WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), o AS (PARTITION BY event_type ORDER BY ts)"
 )
