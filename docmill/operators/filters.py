@@ -1,4 +1,9 @@
-"""Filter documents compiled to boolean Columns that are never null."""
+"""Filter documents compiled to boolean Columns.
+
+A predicate may be null where it is not true, which a filter treats alike and
+which leaves comparisons bare, so that they reach the scan. Under a negation
+it is made definite first: `$ne` and its like keep rows without the field.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +21,11 @@ from docmill.functions.paths import Scope, split_path, step, top_level
 Test = Callable[[Column, T.DataType], Column | None]
 
 
+def definite(predicate: Column) -> Column:
+    """The predicate with null as false."""
+    return F.coalesce(predicate, F.lit(False))
+
+
 def compile_filter(query: object, scope: Scope) -> Column:
     """A filter document as a predicate; null and missing are the same for it."""
     if not isinstance(query, dict):
@@ -54,7 +64,7 @@ def _list(name: str, operand: object, scope: Scope) -> list[Column]:
 _LOGIC: dict[str, Callable[[object, Scope], Column]] = {
     "$and": lambda o, s: V.all_of(_list("$and", o, s)),
     "$or": lambda o, s: V.any_of(_list("$or", o, s)),
-    "$nor": lambda o, s: ~V.any_of(_list("$nor", o, s)),
+    "$nor": lambda o, s: ~definite(V.any_of(_list("$nor", o, s))),
 }
 
 
@@ -95,7 +105,7 @@ def reach(value: Column, kind: T.DataType, names: list[str], test: Test, *, whol
     if names:
         if isinstance(kind, T.ArrayType):
             element = kind.elementType
-            inner = F.coalesce(F.exists(value, lambda e: reach(e, element, names, test, whole=whole, null=null)), F.lit(False))
+            inner = F.exists(value, lambda e: reach(e, element, names, test, whole=whole, null=null))
             if names[0].isdigit():
                 at = F.get(value, F.lit(int(names[0])))
                 return inner | reach(at, element, names[1:], test, whole=whole, null=null)
@@ -112,7 +122,7 @@ def reach(value: Column, kind: T.DataType, names: list[str], test: Test, *, whol
         parts.append(test(value, kind))
     if null:
         parts.append(value.isNull())
-    return F.coalesce(V.any_of(F.coalesce(p, F.lit(False)) for p in parts if p is not None), F.lit(False))
+    return V.any_of(p for p in parts if p is not None)
 
 
 def _equal_test(operand: object) -> Test:
@@ -142,7 +152,7 @@ def _condition(value: Column, kind: T.DataType, names: list[str], op: str, arg:
     if op == "$ne":
         if isinstance(arg, re.Pattern):
             raise bad_value("Can't have regex as arg to $ne.")
-        return ~_condition(value, kind, names, "$eq", arg, siblings)
+        return ~definite(_condition(value, kind, names, "$eq", arg, siblings))
     if op in ("$gt", "$gte", "$lt", "$lte"):
         if arg is None:
             return _condition(value, kind, names, "$eq", None, siblings) if op in ("$gte", "$lte") else F.lit(False)
@@ -150,14 +160,14 @@ def _condition(value: Column, kind: T.DataType, names: list[str], op: str, arg:
     if op == "$in":
         return _in(value, kind, names, arg)
     if op == "$nin":
-        return ~_in(value, kind, names, arg)
+        return ~definite(_in(value, kind, names, arg))
     if op == "$not":
         if not isinstance(arg, (dict, re.Pattern)) or arg == {}:
             raise bad_value("$not needs a regex or a document")
-        return ~conditions(value, kind, names, arg)
+        return ~definite(conditions(value, kind, names, arg))
     if op == "$exists":
         there = reach(value, kind, names, lambda v, _: v.isNotNull(), whole=True)
-        return there if arg is not False and arg != 0 and arg is not None else ~there
+        return there if arg is not False and arg != 0 and arg is not None else ~definite(there)
     if op == "$type":
         return reach(value, kind, names, _type_test(arg), whole=True, null=_names_null(arg))
     if op == "$mod":
@@ -192,7 +202,7 @@ def _in(value: Column, kind: T.DataType, names: list[str], arg: object) -> Colum
     if not names and plain and cls in ("number", "string", "bool", "date"):
         # One isin on the bare column reaches the scan.
         own = [int(x) if isinstance(kind, V.WHOLE) and isinstance(x, float) and x.is_integer() else x for x in plain if V.literal_class(x) == cls and not (isinstance(kind, V.WHOLE) and isinstance(x, float) and not x.is_integer())]
-        parts = [F.coalesce(value.isin(own), F.lit(False))] if own else []
+        parts = [value.isin(own)] if own else []
         rest = [x for x in arg if x is None or isinstance(x, (re.Pattern, dict, list, tuple))]
     else:
         parts, rest = [], list(arg)
@@ -225,7 +235,7 @@ def element_match(element: Column, kind: T.DataType, query: object) -> Column:
     for key, operand in query.items():
         if key in _LOGIC:
             inner = [element_match(element, kind, q) for q in operand]
-            parts.append(V.all_of(inner) if key == "$and" else V.any_of(inner) if key == "$or" else ~V.any_of(inner))
+            parts.append(V.all_of(inner) if key == "$and" else V.any_of(inner) if key == "$or" else ~definite(V.any_of(inner)))
         else:
             parts.append(conditions(element, kind, split_path(key), operand))
     return V.all_of(parts)
@@ -365,7 +375,7 @@ def _schema(schema: object, value: Column, kind: T.DataType, top: bool = False)
             hits = [F.when(_schema(s, value, kind, top), 1).otherwise(0) for s in arg]
             parts.append(sum(hits[1:], hits[0]) == 1)
         elif key == "not":
-            parts.append(~_schema(arg, value, kind, top))
+            parts.append(~definite(_schema(arg, value, kind, top)))
         elif key not in ("title", "description", "exclusiveMinimum", "exclusiveMaximum", "additionalProperties"):
             raise DocumentError(9, f"Unknown $jsonSchema keyword: {key}")
     return F.coalesce(V.all_of(parts), F.lit(False))

@@ -10,9 +10,9 @@ from docmill.errors import DocumentError, bad_value
 from docmill.functions import values as V
 from docmill.functions.accumulators import sort_order
 from docmill.functions.expressions import sorted_array
-from docmill.functions.paths import Scope, assigned, quoted, resolve, split_path, step, top_level
+from docmill.functions.paths import Scope, assigned, follow, quoted, resolve, split_path, step, top_level
 from docmill.operators import shaping
-from docmill.operators.filters import compile_filter, element_match
+from docmill.operators.filters import compile_filter, definite, element_match
 
 NAMES = ("$set", "$unset", "$inc", "$mul", "$min", "$max", "$rename", "$currentDate", "$setOnInsert", "$bit", "$push", "$addToSet", "$pop", "$pull", "$pullAll")
 
@@ -32,7 +32,7 @@ def marked_one(df: DataFrame, hit: Column, sort: dict | None) -> DataFrame:
 
 
 def update(df: DataFrame, query: dict, change: dict | list, context, *, multi: bool, upsert: bool, sort: dict | None, array_filters: list[dict]) -> DataFrame:
-    hit = compile_filter(query, Scope(df))
+    hit = definite(compile_filter(query, Scope(df)))
     replacement = isinstance(change, dict) and not any(k.startswith("$") for k in change)
     if replacement and multi:
         raise DocumentError(9, "multi update is not supported for replacement-style update")
@@ -119,10 +119,10 @@ def _set(df: DataFrame, hit: Column, path: str, value: Column | None, *, remove:
         return df.withColumn(names[0], F.when(hit, new))
     if len(names) > 1 and not remove:
         kind = df.select(new.alias("x")).schema[0].dataType
-        if kind != found[1]:  # the document has a new field: it is null in other rows
-            old = assigned(found[0], found[1], names[1:], F.lit(None).cast(_at(kind, names[1:])))
+        if kind.simpleString() != found[1].simpleString():  # the document gets a new field, or another type for one
+            before, _ = follow(*found, names[1:])
+            old = assigned(*found, names[1:], before.cast(_at(kind, names[1:])))
             return df.withColumn(names[0], F.when(hit, new).otherwise(F.when(found[0].isNotNull(), old)))
-        return df.withColumn(names[0], F.when(hit, new).otherwise(found[0]))
     return df.withColumn(names[0], F.when(hit, new).otherwise(found[0]))
 
 
@@ -209,7 +209,7 @@ def _array_value(op: str, value: Column, kind: T.DataType, operand: object) -> C
         return F.slice(value, F.lit(1 if operand == 1 else 2), F.greatest(F.size(value) - 1, F.lit(0)))
     if op == "$pull":
         query = operand if isinstance(operand, dict) else {"$eq": operand}
-        return F.filter(value, lambda e: ~element_match(e, element, query))
+        return F.filter(value, lambda e: ~definite(element_match(e, element, query)))
     if op == "$pullAll":
         if not isinstance(operand, (list, tuple)):
             raise bad_value("$pullAll requires an array argument")

@@ -11,7 +11,7 @@ from docmill.functions import values as V
 from docmill.functions.expressions import needs_whole
 from docmill.functions.paths import Scope, resolve
 from docmill.operators import shaping, updates
-from docmill.operators.filters import compile_filter
+from docmill.operators.filters import compile_filter, definite
 from docmill.operators.stages import Context, run_pipeline, sort as sort_stage
 
 FIRST_PAGE = 101
@@ -108,7 +108,7 @@ class Collection:
         """Without the matching documents: all of them (limit 0) or the first (limit 1)."""
         if limit not in (0, 1):
             raise DocumentError(9, "The limit field in delete objects must be 0 or 1")
-        hit = compile_filter(query, Scope(self.df))
+        hit = definite(compile_filter(query, Scope(self.df)))
         if not limit:
             return self._replaced(self.df.filter(~hit))
         return self._replaced(updates.marked_one(self.df, hit, sort).filter("NOT _one").drop("_one"))
