@@ -8,12 +8,12 @@ longest match that ends there. No shuffle: texts are read once, where they are.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
+from docmill.llm.tasks import arrow_task, bounded_batches, free_name
 from docmill.llm.tokens import text_batches
 from docmill.llm.workspace import materialise
 
@@ -25,6 +25,8 @@ _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 _built: dict[str, "Automaton"] = {}
 
+Finish = Callable[[pa.RecordBatch, list[bytes], list[int], list[list[tuple[int, int]]], list[list[str]]], pa.RecordBatch]
+
 
 def normal_words(text: bytes) -> list[bytes]:
     """Lower-cased (A-Z) runs of digits, letters and non-ASCII bytes."""
@@ -147,46 +149,53 @@ def item_groups(items: DataFrame, most: int) -> Iterator[list[tuple[str, list[by
         yield group
 
 
-def track_matches(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
-    """docs plus _n_words, _spans (word ranges) and _items (matched item ids).
+def track_matches(docs: DataFrame, items: DataFrame, finish: Finish, schema: str | T.StructType, *, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
+    """What `finish` makes of each batch of docs, given its texts and their word counts, matched word ranges and items.
 
     A null text has no words. An item of fewer words than the window is one
     window; null or wordless items match nothing; equal items all count.
     Empty tables, repeated rows and null ids need nothing special: every row
-    is judged by itself, and all columns of docs pass through.
+    is judged by itself, and all columns of docs reach `finish`.
     """
+    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     names = docs.columns
-    out = docs.withColumns({"_n_words": F.lit(0).cast("long"), "_spans": F.array().cast("array<long>"), "_items": F.array().cast("array<string>")})
-    schema = out.schema
-    groups = list(item_groups(items, automaton_words))
-    for k, group in enumerate(groups or [[]]):
+    groups = list(item_groups(items, automaton_words)) or [[]]
+    rows, extra = docs, (free_name(docs, "_spans"), free_name(docs, "_items"))
+    if len(groups) > 1:
+        rows = docs.withColumns({extra[0]: F.array().cast("array<long>"), extra[1]: F.array().cast("array<string>")})
+    for k, group in enumerate(groups):
+        last = k == len(groups) - 1
         shared = context.broadcast((f"{context.applicationId}-{id(group)}-{len(_built)}-{k}", group, window))  # at most automaton_words words
 
-        def track(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def track(batches: Iterator[pa.RecordBatch], shared=shared, last=last, several=len(groups) > 1) -> Iterator[pa.RecordBatch]:
             key, group, window = shared.value
             if key not in _built:
                 _built.clear()
                 _built[key] = Automaton(group, window)
             automaton = _built[key]
             for batch in batches:
-                before = [batch.column(batch.schema.get_field_index(c)) for c in ("_spans", "_items")]
+                before = [batch.column(batch.schema.get_field_index(c)) if several else None for c in extra]
                 for a, b, texts in text_batches(batch, "text"):
-                    n_words, all_spans, all_items = [], [], []
+                    counts, all_spans, all_items = [], [], []
                     for i, text in enumerate(texts):
                         words = normal_words(text)
-                        n_words.append(len(words))
                         spans, found = automaton.track(words) if len(words) >= automaton.least else ((), ())
-                        all_spans.append((before[0][a + i].as_py() or []) + [x for s in spans for x in s] if spans or k else [])
-                        all_items.append(sorted({*(before[1][a + i].as_py() or []), *found}) if found or k else [])
-                    new = [pa.array(n_words, pa.int64()), pa.array(all_spans, pa.list_(pa.int64())), pa.array(all_items, pa.list_(pa.string()))]
-                    own = batch.slice(a, b - a)
-                    yield pa.RecordBatch.from_arrays([*(own.column(c) for c in range(len(names))), *new], [*names, "_n_words", "_spans", "_items"])
-
-        out = out.mapInArrow(track, schema)
-        if len(groups) > 1 and k < len(groups) - 1:
-            out = materialise(out, "tracked")
-    return out
+                        if before[0] is not None:
+                            spans = merge_spans(before[0][a + i].as_py() + [x for s in spans for x in s])
+                            found = {*before[1][a + i].as_py(), *found}
+                        counts.append(len(words))
+                        all_spans.append(spans)
+                        all_items.append(sorted(found))
+                    own = pa.RecordBatch.from_arrays(batch.slice(a, b - a).columns[: len(names)], names)
+                    if last:
+                        yield finish(own, texts, counts, all_spans, all_items)
+                    else:
+                        flat = pa.array([[x for s in spans for x in s] for spans in all_spans], pa.list_(pa.int64()))
+                        yield pa.RecordBatch.from_arrays([*own.columns, flat, pa.array(all_items, pa.list_(pa.string()))], [*names, *extra])
+
+        rows = rows.mapInArrow(arrow_task(track), schema) if last else materialise(rows.mapInArrow(arrow_task(track), rows.schema), "tracked")
+    return rows
 
 
 def merge_spans(flat: list[int]) -> list[tuple[int, int]]:
@@ -203,15 +212,12 @@ def merge_spans(flat: list[int]) -> list[tuple[int, int]]:
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_hit (words inside matched windows), items (ids, sorted as strings) of each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tracked = track_matches(rows, items, window=window)
-    schema = "doc_id long, n_words long, n_hit long, items array<string>"
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = [sum(b - a for a, b in merge_spans(s)) if s else 0 for s in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(hit, pa.int64()), batch.column(3)], ["doc_id", "n_words", "n_hit", "items"])
+    def told(own: pa.RecordBatch, texts: list[bytes], counts: list[int], spans: list, items: list) -> pa.RecordBatch:
+        hit = [sum(b - a for a, b in s) for s in spans]
+        return pa.RecordBatch.from_arrays([own.column(0), pa.array(counts, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "n_hit", "items"])
 
-    return tracked.select("doc_id", "_n_words", "_spans", "_items").mapInArrow(count, schema)
+    return track_matches(rows, items, told, "doc_id long, n_words long, n_hit long, items array<string>", window=window)
 
 
 def remove_words(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -229,21 +235,15 @@ _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, max_coverage: float = MAX_COVERAGE) -> DataFrame:
     """The rows of docs with matched spans cut out of text; rows matched by more than max_coverage of their words go."""
-    tracked = track_matches(docs, items, window=window)
-    kept = docs.schema
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("text")
-            spans = batch.column(batch.schema.get_field_index("_spans"))
-            total = batch.column(batch.schema.get_field_index("_n_words")).to_pylist()
-            texts, keep = batch.column(at).to_pylist(), np.ones(batch.num_rows, bool)
-            for i, flat in enumerate(spans.to_pylist()):
-                if flat:
-                    merged = merge_spans(flat)
-                    keep[i] = sum(b - a for a, b in merged) <= max_coverage * total[i]
-                    texts[i] = remove_words(texts[i].encode(), merged).decode()
-            columns = [pa.array(texts, batch.column(at).type) if c == at else batch.column(c) for c in range(len(kept))]
-            yield pa.RecordBatch.from_arrays(columns, kept.names).filter(pa.array(keep))
-
-    return tracked.mapInArrow(cut, kept)
+
+    def cut(own: pa.RecordBatch, texts: list[bytes], counts: list[int], spans: list, items: list) -> pa.RecordBatch:
+        at = own.schema.get_field_index("text")
+        keep = [not s or sum(b - a for a, b in s) <= max_coverage * n for s, n in zip(spans, counts, strict=True)]
+        new = own.column(at)
+        if any(spans):
+            old = new.to_pylist()
+            new = pa.array([remove_words(t, s).decode() if s else o for t, s, o in zip(texts, spans, old, strict=True)], new.type)
+        columns = [new if c == at else own.column(c) for c in range(own.num_columns)]
+        return pa.RecordBatch.from_arrays(columns, own.schema.names).filter(pa.array(keep, pa.bool_()))
+
+    return track_matches(docs, items, cut, docs.schema, window=window)

@@ -17,6 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from docmill.llm.perfecthash import PerfectHash
+from docmill.llm.tasks import arrow_task, bounded_batches, free_name
 from docmill.llm.textkernel import SPACES
 from docmill.llm.tokens import text_batches
 from docmill.llm.workspace import materialise
@@ -103,7 +104,7 @@ def document_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "hi", "lo"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    return rows.mapInArrow(hashes, "doc_id long, hi long, lo long")
+    return rows.mapInArrow(arrow_task(hashes), "doc_id long, hi long, lo long")
 
 
 def build_shards(lines: DataFrame, keys_per_shard: int = KEYS_PER_SHARD) -> tuple[DataFrame, int]:
@@ -144,7 +145,7 @@ def lines_to_drop(docs: DataFrame, min_chars: int = MIN_CHARS, keys_per_shard: i
 
     # Within a task the arrays of a shard come just before its probes, which are streamed.
     met = copies.union(probes).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "probe")
-    return met.mapInArrow(probe, "doc_id long, hi long, lo long")
+    return met.mapInArrow(arrow_task(probe), "doc_id long, hi long, lo long")
 
 
 def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, keys_per_shard: int = KEYS_PER_SHARD) -> DataFrame:
@@ -155,18 +156,21 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, keys_per_shard:
     key in the row go. Rows of one id are one document, so they never shorten
     each other; a row without an id neither shortens others nor is shortened.
     A null or empty text is one empty line (null stays null). Other columns
-    pass through; an empty table gives an empty one.
+    pass through (columns named like the two new ones are replaced); an empty table gives an empty one.
     """
+    bounded_batches(docs.sparkSession)
+    docs = docs.drop("_n_lines", "_n_dropped")
+    doc_name, drop_name = free_name(docs, "_doc"), free_name(docs, "_drop")
     drops = lines_to_drop(docs, min_chars, keys_per_shard)
-    by_doc = drops.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("hi", "lo")).alias("_drop"))  # at most a document's own lines
-    joined = docs.join(by_doc, docs["doc_id"].cast("long") == by_doc["_doc"], "left").drop("_doc")
+    by_doc = drops.groupBy(F.col("doc_id").alias(doc_name)).agg(F.collect_set(F.struct("hi", "lo")).alias(drop_name))  # at most a document's own lines
+    joined = docs.join(by_doc, docs["doc_id"].cast("long") == by_doc[doc_name], "left").drop(doc_name)
     names = docs.columns
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts, n_lines, n_dropped = batch.column(at).to_pylist(), [], []
-            for i, drop in enumerate(batch.column(batch.schema.get_field_index("_drop")).to_pylist()):
+            for i, drop in enumerate(batch.column(batch.schema.get_field_index(drop_name)).to_pylist()):
                 lines = (texts[i] or "").encode().split(b"\n") if drop else None
                 n_lines.append(len(lines) if drop else (texts[i] or "").count("\n") + 1)
                 n_dropped.append(0)
@@ -178,4 +182,4 @@ def dedup_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, keys_per_shard:
             columns = [pa.array(texts, batch.column(at).type) if c == at else batch.column(c) for c in range(len(names))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], [*names, "_n_lines", "_n_dropped"])
 
-    return joined.mapInArrow(cut, docs.selectExpr("*", "0L AS _n_lines", "0L AS _n_dropped").schema)
+    return joined.mapInArrow(arrow_task(cut), docs.selectExpr("*", "0L AS _n_lines", "0L AS _n_dropped").schema)

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from docmill.llm.tasks import arrow_task, bounded_batches, free_name
 from docmill.llm.textkernel import LOWER, column_bytes, mix, prefix_hashes, row_slices, shingle_hashes, span_hashes, word_spans
 from docmill.llm.workspace import materialise
 
@@ -102,7 +103,7 @@ def sketches(docs: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), *columns], ["doc_id", "n_shingles", "set_low", "set_high", "bands", "signature"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, n_shingles long, set_low long, set_high long, bands array<long>, signature binary")
+    return rows.mapInArrow(arrow_task(sketch), "doc_id long, n_shingles long, set_low long, set_high long, bands array<long>, signature binary")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
@@ -117,7 +118,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, plan: Plan) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(x, y - x), pa.array(sets, pa.binary())], ["doc_id", "shingles"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(build, "doc_id long, shingles binary")
+    return rows.join(ids.select("doc_id"), "doc_id", "left_semi").mapInArrow(arrow_task(build), "doc_id long, shingles binary")
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -141,7 +142,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+    return both.select("a", "b", "sa", "sb").mapInArrow(arrow_task(check), "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -228,6 +229,7 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
     without an id is linked with nothing, its component is null and it is
     kept. Other columns are not read; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     plan = Plan(shingle, percent)
     sketch = materialise(sketches(docs, plan), "sketches")
     usable = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
@@ -257,5 +259,6 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) ->
 
 def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose document is the one its component keeps."""
-    gone = near_duplicates(docs, shingle=shingle, percent=percent).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    name = free_name(docs, "_gone")
+    gone = near_duplicates(docs, shingle=shingle, percent=percent).filter("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from docmill.llm.tasks import arrow_task, bounded_batches
 from docmill.llm.tokens import encoder, text_batches
 from docmill.llm.workspace import materialise
 
@@ -89,6 +90,7 @@ def slot_table(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.nd
 
 def cut_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 [, ids] of all documents' pieces (columns doc_id and text of docs)."""
+    bounded_batches(docs.sparkSession)
     end = int(end_id).to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,7 +110,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     schema = "doc_id long, piece long, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, schema)
+    return rows.mapInArrow(arrow_task(cut), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
@@ -149,6 +151,6 @@ def pack(docs: DataFrame, tokenizer: str, *, capacity: int = CAPACITY, end_id: i
             yield pa.RecordBatch.from_arrays([*keep, pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{n} {t}" for n, t in pieces.dtypes) + ", sequence_id bigint, offset bigint"
-    out = numbered.mapInArrow(place, schema)
+    out = numbered.mapInArrow(arrow_task(place), schema)
     first = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     return out.select(*first, *[c for c in pieces.columns if c not in first])

@@ -16,12 +16,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from docmill.llm.tasks import arrow_task, bounded_batches
 from docmill.llm.textkernel import IS_SPACE, LOWER, column_bytes, mix, prefix_hashes, row_slices, span_hashes, word_spans
 
 SLICE_BYTES = 1 << 20
 BITS = 16  # of each hashed family: words and word pairs; character n-grams
 CHAR_N = 4
-MAX_LABELLED = 4000  # labelled rows the classifier may see; the only bounded sample here
+MAX_LABELLED = 2000  # labelled rows the classifier may see; the only bounded sample here
 STEPS, RATE, DECAY = 150, 0.3, 1e-5
 CALIBRATION_SHARE = 5  # one labelled row of so many is kept for calibration
 THRESHOLD = 0.2  # kept: the calibrated probability of good quality is at least this
@@ -155,7 +156,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int) ->
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = rows.join(F.broadcast(picked), "doc_id").select("doc_id", "label", "text")  # at most max_labelled rows
-    return joined.mapInArrow(features, "doc_id long, label int, buckets binary, shares binary")
+    return joined.mapInArrow(arrow_task(features), "doc_id long, label int, buckets binary, shares binary")
 
 
 def _descend(index: np.ndarray, value: np.ndarray, row: np.ndarray, y: np.ndarray, weigh: np.ndarray, size: int) -> tuple[np.ndarray, float]:
@@ -210,11 +211,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
 def quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept for each row.
 
-    With keep_columns the rows of docs with a boolean _kept instead. A null
+    With keep_columns the rows of docs with a boolean _kept instead (in the
+    place of a column of that name). A null
     or empty text has no words, fails the rules and is not kept. Rows with
     one id are judged one by one; null ids are judged and stay null; labels
     with nulls or without a document are ignored; an empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
     model = fit(docs, labels, max_labelled)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -233,7 +236,8 @@ def quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABEL
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(s[n]) for n in names), pa.array(failed), pa.array(p), pa.array(kept)], ["doc_id", *names, "base_failed", "probability", "kept"])
 
     if keep_columns:
+        docs = docs.drop("_kept")
         columns = docs.columns
-        return docs.mapInArrow(score, docs.selectExpr("*", "true as _kept").schema)
+        return docs.mapInArrow(arrow_task(score), docs.selectExpr("*", "true as _kept").schema)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, probability double, kept boolean")
+    return rows.mapInArrow(arrow_task(score), "doc_id long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, probability double, kept boolean")

@@ -16,6 +16,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from docmill.llm.tasks import arrow_task, bounded_batches
 from docmill.llm.textkernel import column_bytes
 from docmill.llm.workspace import materialise
 
@@ -66,7 +67,7 @@ def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["blob", "kind", "version", "start", "end"])
 
-    return blobs.select("blob", "text").mapInArrow(find, "blob string, kind string, version int, start long, end long")
+    return blobs.select("blob", "text").mapInArrow(arrow_task(find), "blob string, kind string, version int, start long, end long")
 
 
 def secret_findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, ledger: DataFrame | None = None, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -79,6 +80,7 @@ def secret_findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, ledger:
     table adds nothing; other columns are not read.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     paths = materialise(blob_ids(docs, id_col, text_col), "paths")
     wanted = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
     # One row of docs stands for a blob: texts move once, spread by id and not by blob, so copies meet nowhere.

@@ -17,10 +17,11 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from docmill.llm.tasks import arrow_task, bounded_batches
 from docmill.llm.textkernel import column_bytes, row_slices
 
 BATCH_BYTES = 4 << 20
-TABLE_ENTRIES = 1_000_000  # about 200 MB a process
+TABLE_ENTRIES = 250_000  # about 50 MB a process, which outlives the task
 LONGEST_KEPT_WORD = 64
 
 _encoders: dict[tuple, "Encoder"] = {}
@@ -48,6 +49,14 @@ def _spaces_are_boundaries(path: str) -> bool:
     )
 
 
+def _lowers(path: str) -> bool:
+    """Whether this .json lower-cases texts and all its special strings contain <|."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    steps = (spec.get("normalizer") or {}).get("normalizers", [])
+    return any(s.get("type") == "Lowercase" for s in steps) and all("<|" in t["content"] for t in spec.get("added_tokens", []))
+
+
 class Encoder:
     """Batch encoder of one vocabulary file; `value` says what is kept of a word's ids."""
 
@@ -58,7 +67,7 @@ class Encoder:
             import sentencepiece
 
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            self.by_word = False
+            self.by_word = self.lowers = False
             self._ids = lambda texts: model.encode(texts, num_threads=1)
         else:
             from tokenizers import Tokenizer
@@ -66,13 +75,15 @@ class Encoder:
             model = Tokenizer.from_file(path)
             model.no_truncation()
             model.no_padding()
-            self.by_word = _spaces_are_boundaries(path)
+            self.by_word, self.lowers = _spaces_are_boundaries(path), _lowers(path)
             self._ids = lambda texts: (e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False))
 
     def texts(self, texts: list[bytes]) -> list[list]:
         """For each text the values of its parts, in order."""
         if not self.by_word:
             return [[self.value(ids)] for ids in self._ids([t.decode() for t in texts])]
+        if self.lowers:  # A and a are one word; special strings are matched in the text as it is
+            texts = [t if b"<|" in t else t.lower() for t in texts]
         split = [t.split() for t in texts]
         get = self.table.get
         out = [list(map(get, words)) for words in split]
@@ -111,6 +122,8 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
     columns of docs (whatever their names) are not read.
     """
 
+    bounded_batches(docs.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lengths = encoder(tokenizer, "length")
         for batch in batches:
@@ -122,5 +135,5 @@ def token_counts(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long")
+    out = rows.mapInArrow(arrow_task(count), "doc_id long, n_bytes long, n_tokens long")
     return out.select(F.col("doc_id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
