@@ -723,7 +723,7 @@ def _index_of(scope, operands, size: Callable[[Column], Column]) -> Column:
     """Position of a substring from a start to an end, in the units that `size` counts."""
     text, part, *bounds = _all(scope, operands)
     start = bounds[0] if bounds else F.lit(0)
-    found = F.locate_at(text, part, start) if hasattr(F, "locate_at") else F.call_function("locate", part, text, start + 1)
+    found = F.call_function("locate", part, text, start + 1)
     at = F.when(found > 0, size(F.substring(text, F.lit(1), found - 1))).otherwise(F.lit(-1))
     if len(bounds) > 1:
         at = F.when(at < bounds[1], at).otherwise(F.lit(-1))
