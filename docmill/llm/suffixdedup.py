@@ -19,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docmill.llm.gsaca import suffix_array
+from docmill.llm.tasks import arrow_task, bounded_batches
 from docmill.llm.textkernel import column_bytes, mix, prefix_hashes, row_slices, span_hashes
 from docmill.llm.workspace import materialise
 
 SPAN = 50
-GRAM = 18
+GRAM = 24
 SLICE_BYTES = 1 << 20
 SLICE_ROWS = 60_000
 SHARD_BYTES = 24 << 20  # of text behind a shard
-SORT_BYTES = 1 << 16  # of segments in one suffix array; a larger group of one anchor stands alone
+SORT_BYTES = 1 << 14  # of segments in one suffix array; a larger group of one anchor stands alone
 
 
 def _least(h: np.ndarray, width: int) -> np.ndarray:
@@ -68,6 +69,20 @@ def _slices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, np.n
             yield x, y, data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x]
 
 
+def _by_first(batches: Iterator[pa.RecordBatch], kinds: tuple) -> Iterator[list[tuple[np.ndarray, ...]]]:
+    """The packed arrays of rows that agree in the first column; rows come sorted by it."""
+    at, held = None, []
+    for batch in batches:
+        for k, *raw in zip(*(c for c in batch.columns), strict=True):
+            if k.as_py() != at and held:
+                yield held
+                held = []
+            at = k.as_py()
+            held.append(tuple(np.frombuffer(x.as_py(), t) for x, t in zip(raw, kinds, strict=True)))
+    if held:
+        yield held
+
+
 def send_anchors(docs: DataFrame, shards: int, span: int, gram: int) -> DataFrame:
     """(shard, docs, anchor, segment, owner): a slice's anchors for a shard, as packed arrays."""
 
@@ -88,7 +103,7 @@ def send_anchors(docs: DataFrame, shards: int, span: int, gram: int) -> DataFram
                 columns = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["shard", "docs", "anchor", "segment", "owner"])
 
-    return docs.mapInArrow(send, "shard long, docs binary, anchor binary, segment binary, owner binary")
+    return docs.mapInArrow(arrow_task(send), "shard long, docs binary, anchor binary, segment binary, owner binary")
 
 
 def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,21 +114,16 @@ def _grouped(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def repeated_anchors(sent: DataFrame, shards: int) -> DataFrame:
-    """(doc_id, anchors, first): the anchors a document shares with others.
+    """(bucket, docs, anchors, first): anchors that several documents hold, packed by buckets of documents.
 
     first holds the smallest document of an anchor whose segments are all
     equal, and -1 - that document where they differ, so that the texts must
-    be sorted. Equal rows of one document are merged.
+    be sorted.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple]] = {}
-        for batch in batches:
-            for k, *raw in zip(*(c for c in batch.columns), strict=True):
-                docs, anchor, segment, owner = (np.frombuffer(x.as_buffer(), t) for x, t in zip(raw, (np.int64, np.uint64, np.uint32, np.uint16), strict=True))
-                held.setdefault(k.as_py(), []).append((anchor.copy(), segment.copy(), docs[owner]))
-        for parts in held.values():
-            anchor, segment, doc = (np.concatenate(c) for c in zip(*parts))
+        for parts in _by_first(batches, (np.int64, np.uint64, np.uint32, np.uint16)):
+            anchor, segment, doc = (np.concatenate(c) for c in zip(*((a, s, d[o]) for d, a, s, o in parts)))
             order, starts = _grouped(anchor)
             anchor, segment, doc = anchor[order], segment[order], doc[order]
             n = np.diff(np.r_[starts, len(anchor)])
@@ -122,15 +132,31 @@ def repeated_anchors(sent: DataFrame, shards: int) -> DataFrame:
             keep = np.repeat(low < high, n)
             first = np.repeat(np.where(same, low, -1 - low), n)[keep]
             anchor, doc = anchor[keep], doc[keep]
+            bucket = (mix(doc.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+            order, starts = _grouped(bucket)
+            ends = np.r_[starts[1:], len(doc)][: len(starts)]
+            rows = [(int(bucket[order[a]]), *(x[order[a:b]].tobytes() for x in (doc, anchor, first))) for a, b in zip(starts, ends, strict=True)]
+            columns = list(zip(*rows)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "docs", "anchors", "first"])
+
+    return sent.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(arrow_task(find), "bucket long, docs binary, anchors binary, first binary")
+
+
+def by_document(packed: DataFrame, shards: int) -> DataFrame:
+    """(doc_id, anchors, first): the packed anchors, one row for each document."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for parts in _by_first(batches, (np.int64,) * 3):
+            doc, anchor, first = (np.concatenate(c) for c in zip(*parts))
             order, starts = _grouped(doc)
-            ends = np.r_[starts[1:], len(doc)]
             anchor, first = anchor[order], first[order]
-            out = [(int(doc[order[a]]), anchor[a:b].tobytes(), first[a:b].tobytes()) for a, b in zip(starts, ends, strict=True)]
-            columns = list(zip(*out)) or [[]] * 3
-            for a in range(0, len(columns[0]), 5000):
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0][a : a + 5000], pa.int64()), *(pa.array(c[a : a + 5000], pa.binary()) for c in columns[1:])], ["doc_id", "anchors", "first"])
+            bounds = 8 * np.r_[starts, len(doc)]
+            for a in range(0, len(starts), 5000):
+                own = bounds[a : a + 5001]
+                lists = [pa.Array.from_buffers(pa.binary(), len(own) - 1, [None, pa.py_buffer((own - own[0]).astype(np.int32).tobytes()), pa.py_buffer(x[own[0] // 8 : own[-1] // 8].tobytes())]) for x in (anchor, first)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[order[starts[a : a + 5000]]]), *lists], ["doc_id", "anchors", "first"])
 
-    return sent.repartition(shards, "shard").mapInArrow(find, "doc_id long, anchors binary, first binary")
+    return packed.repartition(shards, "bucket").sortWithinPartitions("bucket").mapInArrow(arrow_task(gather), "doc_id long, anchors binary, first binary")
 
 
 def smallest_holders(texts: list[bytes], docs: list[int], span: int) -> list[np.ndarray]:
@@ -158,49 +184,62 @@ def smallest_holders(texts: list[bytes], docs: list[int], span: int) -> list[np.
 def sort_segments(cut: DataFrame, shards: int, span: int) -> DataFrame:
     """(doc_id, ranges): byte ranges (start, end, ...) that a smaller document holds.
 
-    cut: (shard, anchor, doc_id, start, text), one row per segment.
+    cut: (anchor, doc_id, start, text), one row per segment.
     """
 
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple[bytes, int, int]] = []
-        at = None
-        waiting: list[list[tuple[bytes, int, int]]] = []
-        size = 0
+        known: dict[bytes, int] = {}  # each text waiting, with its number
+        least: list[int] = []  # the smallest document of each
+        docs: list[int] = []
+        starts: list[int] = []
+        numbers: list[int] = []
+        at, size = None, 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal waiting, size
-            known: dict[bytes, int] = {}
-            for t, doc, _ in (s for g in waiting for s in g):
-                known[t] = min(known.get(t, doc), doc)
-            texts = list(known)
-            holders = dict(zip(texts, smallest_holders(texts, [known[t] for t in texts], span), strict=True))
-            found: dict[int, list[int]] = {}
-            for t, doc, start in (s for g in waiting for s in g):
-                hit = np.flatnonzero(holders[t] < doc)
-                if len(hit):
-                    edge = np.flatnonzero(np.diff(hit) > 1)
-                    for a, b in zip(hit[np.r_[0, edge + 1]], hit[np.r_[edge, len(hit) - 1]], strict=True):
-                        found.setdefault(doc, []).extend((start + int(a), start + int(b) + span))
-            waiting, size = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.list_(pa.int64()))], ["doc_id", "ranges"])
+            nonlocal size
+            holders = smallest_holders(list(known), least, span)
+            n = np.array([len(h) for h in holders])
+            first = np.cumsum(n) - n
+            number, doc = np.array(numbers), np.array(docs)
+            order = np.argsort(doc, kind="stable")
+            number, doc, start = number[order], doc[order], np.array(starts)[order]
+            count = n[number]
+            row = np.repeat(np.arange(len(number)), count)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            hit = np.concatenate(holders)[first[number][row] + place] < doc[row]
+            edge = np.r_[True, row[1:] != row[:-1]]
+            opens = np.flatnonzero(hit & (edge | ~np.r_[False, hit[:-1]]))
+            closes = np.flatnonzero(hit & np.r_[edge[1:] | ~hit[1:], True])
+            flat = np.stack([start[row[opens]] + place[opens], start[row[closes]] + place[closes] + span], 1).ravel()
+            owner = doc[row[opens]]
+            new = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(2 * np.r_[new, len(owner)], pa.int32()), pa.array(flat, pa.int64()))
+            for x in (known, least, docs, starts, numbers):
+                x.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([pa.array(owner[new], pa.int64()), lists], ["doc_id", "ranges"])
 
         for batch in batches:
-            for anchor, doc, start, text in zip(*(c.to_pylist() for c in batch.columns[1:]), strict=True):
-                if anchor != at and group:
-                    waiting.append(group)
-                    size += sum({s[0]: len(s[0]) for s in group}.values())
-                    group = []
+            for anchor, doc, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if anchor != at:
                     if size > SORT_BYTES:
                         yield flush()
-                at = anchor
-                group.append((text, doc, start))
-        if group:
-            waiting.append(group)
-        if waiting:
+                    at = anchor
+                k = known.get(text)
+                if k is None:
+                    k = known[text] = len(least)
+                    least.append(doc)
+                    size += len(text)
+                elif doc < least[k]:
+                    least[k] = doc
+                docs.append(doc)
+                starts.append(start)
+                numbers.append(k)
+        if docs:
             yield flush()
 
-    met = cut.repartition(shards, "shard").sortWithinPartitions("shard", "anchor")
-    return met.mapInArrow(sort, "doc_id long, ranges array<long>")
+    met = cut.repartition(4 * shards, "anchor").sortWithinPartitions("anchor")
+    return met.mapInArrow(arrow_task(sort), "doc_id long, ranges array<long>")
 
 
 def _merged(ranges: list[int]) -> list[tuple[int, int]]:
@@ -219,45 +258,44 @@ def repeated_ranges(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> D
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     shared = repeated_anchors(send_anchors(rows, shards, span, gram), shards)
-    by_doc = materialise(shared.groupBy("doc_id").agg(F.collect_list(F.struct("anchors", "first")).alias("shared")), "shared-anchors")
+    by_doc = materialise(by_document(shared, shards), "shared-anchors")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "ranges", "shard", "anchor", "start", "text"]
+        names = ["doc_id", "ranges", "anchor", "start", "text"]
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            told = batch.column(2).to_pylist()
             for x, y, data, offsets in _slices(batch, 1):
                 anchor, row, start, end = segments(data, offsets, span, gram)
-                bounds = np.searchsorted(row, np.arange(y - x + 1))
-                raw = data.tobytes()
-                sure, sorted_later = [], []
-                for i in range(y - x):
-                    doc = int(ids[x + i])
-                    known = np.concatenate([np.frombuffer(s["anchors"], np.uint64) for s in told[x + i]])
-                    first = np.concatenate([np.frombuffer(s["first"], np.int64) for s in told[x + i]])
-                    order = np.argsort(known)
-                    known, first = known[order], first[order]
-                    own = np.arange(bounds[i], bounds[i + 1])
-                    where = np.minimum(np.searchsorted(known, anchor[own]), len(known) - 1)
-                    match = known[where] == anchor[own]
-                    own, verdict = own[match], first[where[match]]
-                    base = int(offsets[i])
-                    plain = own[(verdict >= 0) & (verdict < doc)]
-                    if len(plain):
-                        sure.append((doc, np.stack([start[plain] - base, end[plain] - base], 1).ravel()))
-                    for s in own[verdict < 0].tolist():
-                        sorted_later.append((doc, int(mix(anchor[s : s + 1])[0] % np.uint64(shards)), int(anchor[s : s + 1].view(np.int64)[0]), int(start[s]) - base, raw[start[s] : end[s]]))
-                if sure:
-                    d, r = zip(*sure)
-                    n = len(d)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(r, pa.list_(pa.int64())), *(pa.nulls(n, pa.int64()) for _ in range(3)), pa.nulls(n, pa.binary())], names)
-                if sorted_later:
-                    d, k, a, s, t = zip(*sorted_later)
-                    yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.nulls(len(d), pa.list_(pa.int64())), pa.array(k, pa.int64()), pa.array(a, pa.int64()), pa.array(s, pa.int64()), pa.array(t, pa.binary())], names)
-
-    schema = "doc_id long, ranges array<long>, shard long, anchor long, start long, text binary"
-    cuts = materialise(rows.join(by_doc, "doc_id").mapInArrow(cut, schema), "segments")
-    sorted_ = sort_segments(cuts.filter("ranges IS NULL").select("shard", "anchor", "doc_id", "start", "text"), shards, span)
+                packed, at = column_bytes(batch.column(2).slice(x, y - x))
+                known = np.frombuffer(packed.tobytes(), np.uint64)
+                first = np.frombuffer(column_bytes(batch.column(3).slice(x, y - x))[0].tobytes(), np.int64)
+                owned = mix(known ^ mix(np.repeat(np.arange(y - x, dtype=np.uint64), np.diff(at) // 8)))
+                order = np.argsort(owned)
+                own = mix(anchor ^ mix(row.astype(np.uint64)))
+                where = np.minimum(np.searchsorted(owned[order], own), len(owned) - 1)
+                match = owned[order][where] == own
+                verdict = first[order][where]
+                doc = ids[x:y][row]
+                start_here, end_here = start - offsets[row], end - offsets[row]
+
+                sure = np.flatnonzero(match & (verdict >= 0) & (verdict < doc))
+                if len(sure):
+                    new = np.flatnonzero(np.r_[True, np.diff(row[sure]) != 0])
+                    flat = np.stack([start_here[sure], end_here[sure]], 1).ravel()
+                    lists = pa.ListArray.from_arrays(pa.array(2 * np.r_[new, len(sure)], pa.int32()), pa.array(flat, pa.int64()))
+                    n = len(new)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[sure[new]]), lists, *(pa.nulls(n, pa.int64()) for _ in range(2)), pa.nulls(n, pa.binary())], names)
+                later = np.flatnonzero(match & (verdict < 0))
+                if len(later):
+                    size = end[later] - start[later]
+                    bounds = np.r_[0, np.cumsum(size)]
+                    taken = data[np.repeat(start[later] - bounds[:-1], size) + np.arange(bounds[-1])]
+                    texts = pa.Array.from_buffers(pa.binary(), len(later), [None, pa.py_buffer(bounds.astype(np.int32).tobytes()), pa.py_buffer(taken.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[later]), pa.nulls(len(later), pa.list_(pa.int64())), pa.array(anchor[later].view(np.int64)), pa.array(start_here[later]), texts], names)
+
+    schema = "doc_id long, ranges array<long>, anchor long, start long, text binary"
+    cuts = materialise(rows.join(by_doc, "doc_id").mapInArrow(arrow_task(cut), schema), "segments")
+    sorted_ = sort_segments(cuts.filter("ranges IS NULL").select("anchor", "doc_id", "start", "text"), shards, span)
     both = cuts.filter("ranges IS NOT NULL").select("doc_id", "ranges").union(sorted_)
     return both.groupBy("doc_id").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
@@ -272,6 +310,7 @@ def drop_repeats(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> Data
     agree); a row without an id is neither cut nor held against others. Other
     columns are not read; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     ranges = repeated_ranges(docs, span=span, gram=gram)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
@@ -292,4 +331,4 @@ def drop_repeats(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "kept", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = rows.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(cut, "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return joined.mapInArrow(arrow_task(cut), "doc_id long, kept binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
