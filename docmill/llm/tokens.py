@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import json
 import os
-from array import array
-from collections.abc import Callable, Iterator
+import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -21,16 +22,23 @@ from docmill.llm.tasks import arrow_task, bounded_batches
 from docmill.llm.textkernel import column_bytes, row_slices
 
 BATCH_BYTES = 4 << 20
-TABLE_ENTRIES = 250_000  # about 50 MB a process, which outlives the task
+TABLE_ENTRIES = 200_000  # about 40 MB a process, which outlives the task
+SEEN_BITS = 22  # of the marks for words met before
 LONGEST_KEPT_WORD = 64
+JOINED_WORDS = 500
+MARKS = ".,;:!?"
 
 _encoders: dict[tuple, "Encoder"] = {}
 
 
+def _spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
 def _spaces_are_boundaries(path: str) -> bool:
     """Whether this .json drops white space before its merges and works word by word."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = _spec(path)
     pre = spec.get("pre_tokenizer") or {}
     steps = pre.get("pretokenizers", [pre])
     split = steps[0] if steps else {}
@@ -51,18 +59,17 @@ def _spaces_are_boundaries(path: str) -> bool:
 
 def _lowers(path: str) -> bool:
     """Whether this .json lower-cases texts and all its special strings contain <|."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
+    spec = _spec(path)
     steps = (spec.get("normalizer") or {}).get("normalizers", [])
     return any(s.get("type") == "Lowercase" for s in steps) and all("<|" in t["content"] for t in spec.get("added_tokens", []))
 
 
 class Encoder:
-    """Batch encoder of one vocabulary file; `value` says what is kept of a word's ids."""
+    """Batch encoder of one vocabulary file; kind 'length' keeps numbers of ids, 'ids' little-endian 32-bit ids."""
 
-    def __init__(self, path: str, value: Callable[[list[int]], object]):
+    def __init__(self, path: str, kind: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.value, self.table = value, {}
+        self.kind, self.table, self.seen = kind, {}, bytearray(1 << SEEN_BITS)
         if path.endswith(".model"):
             import sentencepiece
 
@@ -76,12 +83,60 @@ class Encoder:
             model.no_truncation()
             model.no_padding()
             self.by_word, self.lowers = _spaces_are_boundaries(path), _lowers(path)
-            self._ids = lambda texts: (e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False))
+            self._ids = lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
+            if self.by_word:
+                suffix = _spec(path)["model"]["end_of_word_suffix"]
+                vocabulary = model.get_vocab(with_added_tokens=True)
+                self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+                self.ends_word[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+
+    def _values(self, ids: np.ndarray, stops: np.ndarray) -> list:
+        """What is kept of each part of ids, parts ending at stops."""
+        at = [0, *stops.tolist()]
+        if self.kind == "length":
+            return [b - a for a, b in zip(at, at[1:])]
+        raw = ids.astype("<u4").tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip(at, at[1:])]
+
+    def _parts(self, texts: list[str]) -> list:
+        """Values of texts that are encoded one by one, in a batch."""
+        found = self._ids(texts)
+        return self._values(np.array([i for ids in found for i in ids], np.int64), np.cumsum([len(ids) for ids in found])) if texts else []
+
+    def _words(self, words: list[bytes]) -> dict[bytes, object]:
+        """Values of new words.
+
+        Words of letters, and a mark after them, are encoded hundreds at a
+        time as one text: each is one or two pieces for the merges, and the
+        last id of a piece tells that it ends.
+        """
+        plain, pieces, other = [], [], []
+        for w in words:
+            text = w.decode()
+            core = text[:-1] if text[-1] in MARKS else text
+            if core.isascii() and core.isalpha() or core.isalpha() and core.lower().isalpha() and unicodedata.is_normalized("NFC", core):
+                plain.append(w)
+                pieces.append(2 if core is not text else 1)
+            else:
+                other.append(w)
+        new = {}
+        groups = range(0, len(plain), JOINED_WORDS)
+        for a, found in zip(groups, self._ids([b" ".join(plain[a : a + JOINED_WORDS]).decode() for a in groups])):
+            own = plain[a : a + JOINED_WORDS]
+            ids = np.array(found, np.int64)
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            last = np.cumsum(pieces[a : a + JOINED_WORDS])
+            if len(ends) != last[-1]:
+                other += own
+            else:
+                new.update(zip(own, self._values(ids, ends[last - 1])))
+        new.update(zip(other, self._parts([w.decode() for w in other])))
+        return new
 
     def texts(self, texts: list[bytes]) -> list[list]:
         """For each text the values of its parts, in order."""
         if not self.by_word:
-            return [[self.value(ids)] for ids in self._ids([t.decode() for t in texts])]
+            return [[x] for x in self._parts([t.decode() for t in texts])]
         if self.lowers:  # A and a are one word; special strings are matched in the text as it is
             texts = [t if b"<|" in t else t.lower() for t in texts]
         split = [t.split() for t in texts]
@@ -89,19 +144,29 @@ class Encoder:
         out = [list(map(get, words)) for words in split]
         holes = [i for i, values in enumerate(out) if None in values]
         if holes:
-            fresh = list({w for i in holes for w, v in zip(split[i], out[i], strict=True) if v is None})
-            new = dict(zip(fresh, map(self.value, self._ids([w.decode() for w in fresh])), strict=True))
+            new = self._words(list({w for i in holes for w, v in zip(split[i], out[i], strict=True) if v is None}))
             for i in holes:
                 out[i] = [new[w] if v is None else v for w, v in zip(split[i], out[i], strict=True)]
-            if len(self.table) < TABLE_ENTRIES:
-                self.table.update({w: v for w, v in new.items() if len(w) <= LONGEST_KEPT_WORD})
+            self._keep(new)
         return out
 
+    def _keep(self, new: dict[bytes, object]) -> None:
+        """Into the table go words met in an earlier batch too: most words of a corpus come once."""
+        if len(self.table) < TABLE_ENTRIES:
+            seen, mask = self.seen, (1 << SEEN_BITS) - 1
+            for w, v in new.items():
+                at = hash(w) & mask
+                if seen[at]:
+                    if len(w) <= LONGEST_KEPT_WORD:
+                        self.table[w] = v
+                else:
+                    seen[at] = 1
+
 
 def encoder(path: str, kind: str) -> Encoder:
     """This process's encoder; kind 'length' keeps lengths, 'ids' little-endian 32-bit ids."""
     if (path, kind) not in _encoders:
-        _encoders[path, kind] = Encoder(path, len if kind == "length" else lambda ids: array("I", ids).tobytes())
+        _encoders[path, kind] = Encoder(path, kind)
     return _encoders[path, kind]
 
 
