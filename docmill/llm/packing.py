@@ -22,7 +22,7 @@ from docmill.llm.workspace import materialise
 
 CAPACITY = 2048
 END_ID = 0
-PIECES_PER_GROUP = 20_000
+PIECES_PER_GROUP = 2_000
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:

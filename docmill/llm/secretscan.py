@@ -82,10 +82,10 @@ def secret_findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, ledger:
     spark = docs.sparkSession
     bounded_batches(spark)
     paths = materialise(blob_ids(docs, id_col, text_col), "paths")
-    wanted = spark.createDataFrame([(r.kind, r.version) for r in rules], "kind string, version int")
+    wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
     # One row of docs stands for a blob: texts move once, spread by id and not by blob, so copies meet nowhere.
     first = paths.groupBy("blob").agg(F.min("path").alias("path"))
-    pairs = first.select("blob").crossJoin(F.broadcast(wanted))  # rules are a fixed, small list
+    pairs = first.select("blob", F.inline(wanted))
     if ledger is not None:
         unseen = pairs.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
         due = unseen.groupBy("blob").agg(F.collect_set("kind").alias("kinds"))
