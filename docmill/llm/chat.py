@@ -51,7 +51,7 @@ class Layout:
 
 
 LAYOUTS = (
-    Layout("rows", ("conv_id", "turn", "role", "text"), (), None),
+    Layout("rows", ("turn", "role", "text"), (), None),
     Layout("messages", ("messages[].role", "messages[].content"), (), lambda f: _listed(f("messages"), "role", "content")),
     Layout("exchanges", ("conversations[].from", "conversations[].value"), (), lambda f: _listed(f("conversations"), "from", "value")),
     Layout("prompt", ("prompt", "response"), ("system",), _pair(("system", "system"), ("user", "prompt"), (LEARNED_ROLE, "response"))),
@@ -117,7 +117,7 @@ JSON_SCHEMA = (
 
 def _json_paths(record: Column) -> Column:
     """The sorted known paths that a parsed record has, as an array."""
-    flat = [p for p in KNOWN_PATHS if "[]" not in p and p not in ("conv_id", "turn", "role", "text")]
+    flat = [p for p in KNOWN_PATHS if "[]" not in p and p not in LAYOUTS[0].needs]
     listed = [p for p in KNOWN_PATHS if "[]." in p]
 
     def has(path: str) -> Column:
