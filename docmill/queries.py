@@ -162,12 +162,12 @@ def match_type(t):
 # --- shaping ---
 
 
-@query("SELECT o_orderkey, o_totalprice, round(o_totalprice * 1.1, 2) AS with_tax, o_orderstatus AS status FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey, o_totalprice, round(o_totalprice * 1.1, 6) AS with_tax, o_orderstatus AS status FROM orders WHERE o_orderkey < 100")
 def project_incl_excl(t):
     return t.orders.aggregate(
         [
             {"$match": {"o_orderkey": {"$lt": 100}}},
-            {"$project": {"o_orderkey": 1, "o_totalprice": 1, "with_tax": {"$round": [{"$multiply": ["$o_totalprice", 1.1]}, 2]}, "status": "$o_orderstatus", "o_orderdate": "$o_orderdate"}},
+            {"$project": {"o_orderkey": 1, "o_totalprice": 1, "with_tax": {"$round": [{"$multiply": ["$o_totalprice", 1.1]}, 6]}, "status": "$o_orderstatus", "o_orderdate": "$o_orderdate"}},
             {"$project": {"o_orderdate": 0}},
         ]
     )
@@ -529,8 +529,8 @@ def win_frame_range(t):
 
 
 @query(
-    "SELECT event_id, round(covar_pop(value, user_id) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 6) AS cov, "
-    "round((value - first_value(value) OVER w) / nullif((epoch_us(ts) // 1000 - epoch_us(first_value(ts) OVER w) // 1000) / 3600000.0, 0), 6) AS rate, "
+    "SELECT event_id, round(covar_pop(value, user_id) OVER (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 9 PRECEDING AND CURRENT ROW), 8) AS cov, "
+    "round((value - first_value(value) OVER w) / nullif((epoch_us(ts) // 1000 - epoch_us(first_value(ts) OVER w) // 1000) / 3600000.0, 0), 8) AS rate, "
     "(value + lag(value) OVER o) / 2 * (epoch_us(ts) // 1000 - epoch_us(lag(ts) OVER o) // 1000) / 3600000.0 AS area FROM events "
     "WINDOW w AS (PARTITION BY event_type ORDER BY ts ROWS BETWEEN 1 PRECEDING AND CURRENT ROW), o AS (PARTITION BY event_type ORDER BY ts)"
 )
@@ -550,7 +550,7 @@ def win_cov_deriv_integral(t):
                     },
                 }
             },
-            {"$project": {"event_id": 1, "cov": {"$round": ["$cov", 6]}, "rate": {"$round": ["$rate", 6]}, "area": {"$cond": [{"$gt": ["$seen", 1]}, "$area", None]}}},
+            {"$project": {"event_id": 1, "cov": {"$round": ["$cov", 8]}, "rate": {"$round": ["$rate", 8]}, "area": {"$cond": [{"$gt": ["$seen", 1]}, "$area", None]}}},
         ]
     )
     return out
@@ -864,7 +864,7 @@ def expr_convert(t):
 # --- dynamic documents, searches ---
 
 
-@query("SELECT CAST(props->>'k' AS DOUBLE) AS k, count(*) AS n, round(avg(value), 4) AS a FROM events WHERE CAST(props->>'k' AS INT) >= 3 GROUP BY 1")
+@query("SELECT CAST(props->>'k' AS DOUBLE) AS k, count(*) AS n, round(avg(value), 7) AS a FROM events WHERE CAST(props->>'k' AS INT) >= 3 GROUP BY 1")
 def json_dynamic(t):
     events = Collection(dynamic(t.df("events"), "props"))
     return events.aggregate(
@@ -873,7 +873,7 @@ def json_dynamic(t):
             {"$set": {"k": {"$ifNull": [{"$sum": []}, 0]}}},
             {"$set": {"k": F.try_variant_get("props", "$.k", "double")}},
             {"$group": {"_id": "$k", "n": {"$sum": 1}, "a": {"$avg": "$value"}}},
-            {"$project": {"_id": 0, "k": "$_id", "n": 1, "a": {"$round": ["$a", 4]}}},
+            {"$project": {"_id": 0, "k": "$_id", "n": 1, "a": {"$round": ["$a", 7]}}},
         ]
     )
 
