@@ -4,7 +4,7 @@ The model predicts the next subword in two steps: its class, from the previous
 subword and an attention over the context, then the subword within its class,
 from the previous subword. Counts (subwords, pairs, words) come from all
 training documents; the attention part is trained in numpy, started on a few
-documents on the driver and then on windows of every training document,
+documents on the driver and then on all windows of every training document,
 partition by partition, with averaged parameters. Scoring cuts texts into
 overlapping windows in which each subword is a target exactly once.
 """
@@ -25,9 +25,8 @@ from docmill.llm.tokens import encoder, text_batches
 from docmill.llm.workspace import materialise
 
 SLICE_BYTES = 1 << 20
-CLASSES, WIDTH = 32, 16
-LENGTH, STRIDE = 24, 16  # of a window, and how many targets it has
-TRAIN_EVERY = 16  # of a training document's windows, one in so many (one at least) gives targets; all give counts
+CLASSES, WIDTH = 64, 16
+LENGTH, STRIDE = 32, 16  # of a window, and how many targets it has
 START_DOCUMENTS = 600  # documents that the driver starts the attention on
 START_STEPS, STEP_WINDOWS = 700, 256
 SCORE_WINDOWS = 512
@@ -150,12 +149,12 @@ class Adam:
 # --- windows ---------------------------------------------------------------
 
 
-def windows(sequences: list[np.ndarray], end: int, every: int = 1, phase: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, live, owner) of the sequences' windows.
 
     inputs (n, LENGTH) are ids shifted by one (the end id comes first), -1
     pads; targets (n, STRIDE) follow the last STRIDE inputs; live marks real
-    ones; owner tells the sequence. With `every`, one window in so many.
+    ones; owner tells the sequence.
     """
     lead, parts, starts, owner, at = LENGTH - STRIDE, [], [], [], 0
     for i, s in enumerate(sequences):
@@ -165,10 +164,8 @@ def windows(sequences: list[np.ndarray], end: int, every: int = 1, phase: list[i
         block[lead + 1 : lead + 1 + len(s)] = s
         block[lead + 1 + len(s)] = end
         parts.append(block)
-        first = phase[i] % min(every, n) if phase else 0
-        own = np.arange(first, n, every) * STRIDE
-        starts.append(at + own)
-        owner.append(np.full(len(own), i))
+        starts.append(at + np.arange(n) * STRIDE)
+        owner.append(np.full(n, i))
         at += len(block)
     flat, starts = np.concatenate(parts), np.concatenate(starts)
     x = flat[starts[:, None] + np.arange(LENGTH)]
@@ -379,17 +376,17 @@ def log10_probabilities(m: Attention, tables: Tables, sequences: list[np.ndarray
 
 
 def train_everywhere(tokens: DataFrame, tables, start: Attention) -> Attention:
-    """Train from `start` on windows of all training documents, by partition, and average by targets."""
+    """Train from `start` on all windows of all training documents, by partition, and average by targets."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, t = start, tables.value
         adam, seen, step = Adam(m.flat().size), 0, 0
-        held: list[tuple] = []
+        held: list[np.ndarray] = []
         rows = 0
 
         def learn() -> None:
             nonlocal m, seen, step
-            x, y, live = (np.concatenate(c) for c in zip(*held))
+            x, y, live, _ = windows(held, t.end)
             order = np.random.default_rng(step).permutation(len(x))
             for a in range(0, len(x), STEP_WINDOWS):
                 at = order[a : a + STEP_WINDOWS]
@@ -397,11 +394,9 @@ def train_everywhere(tokens: DataFrame, tables, start: Attention) -> Attention:
                 seen, step = seen + int(live[at].sum()), step + 1
 
         for batch in batches:
-            sequences = [np.frombuffer(s.as_buffer(), np.uint16) for s in batch.column(0)]
-            phase = batch.column(1).to_pylist()
-            for a in range(0, len(sequences), 200):
-                held.append(windows(sequences[a : a + 200], t.end, TRAIN_EVERY, phase[a : a + 200])[:3])
-                rows += len(held[-1][0])
+            for ids in batch.column(0):
+                held.append(np.frombuffer(ids.as_buffer(), np.uint16))
+                rows += -(-(len(held[-1]) + 1) // STRIDE)
                 if rows >= 64 * STEP_WINDOWS:
                     learn()
                     held, rows = [], 0
@@ -411,8 +406,7 @@ def train_everywhere(tokens: DataFrame, tables, start: Attention) -> Attention:
             flat = m.flat().astype(np.float64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * seen), pa.array(np.full(len(flat), seen, np.float64))], ["i", "wv", "w"])
 
-    phased = tokens.select("ids", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)).alias("phase"))
-    parts = phased.mapInArrow(arrow_task(local), "i long, wv double, w double").groupBy("i").agg((F.sum("wv") / F.sum("w")).alias("v"))
+    parts = tokens.select("ids").mapInArrow(arrow_task(local), "i long, wv double, w double").groupBy("i").agg((F.sum("wv") / F.sum("w")).alias("v"))
     rows = parts.toArrow()  # one row per parameter
     if not rows.num_rows:
         return start

@@ -3,6 +3,7 @@
 import collections
 import json
 import math
+import os
 import re
 import zlib
 
@@ -117,6 +118,34 @@ def test_windows_score_each_id_once():
         assert before.tolist() == [999, *s.tolist()]
 
 
+def test_every_target_of_a_training_document_is_trained_on(spark, tmp_path):
+    folder = str(tmp_path)
+
+    class Classes:
+        def __getitem__(self, ids):
+            if ids.shape[1] == lm.STRIDE:  # targets; -1 pads
+                with open(f"{folder}/{os.getpid()}", "a") as out:
+                    out.write(f"{(ids >= 0).sum()}\n")
+            return np.where(ids < 0, lm.CLASSES, ids % lm.CLASSES)
+
+    class Tables:
+        end, class_of, prior = 999, Classes(), np.zeros((1000, lm.CLASSES), np.float32)
+
+    class Shared:
+        value = Tables()
+
+    lengths = [3, 15, 16, 700, 5000]
+    rows = [(i, bytearray(np.arange(n, dtype=np.uint16) % 900)) for i, n in enumerate(lengths)]
+    lm.train_everywhere(spark.createDataFrame(rows, "doc_id long, ids binary"), Shared(), lm.Attention.start())
+    seen = sum(int(line) for name in os.listdir(folder) for line in open(f"{folder}/{name}"))
+    assert seen == sum(n + 1 for n in lengths)
+
+
+def test_context_and_classes():
+    assert lm.LENGTH - lm.STRIDE >= 16  # a target of a long text sees 17 subwords at least
+    assert lm.CLASSES >= 64
+
+
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(1)
     m = lm.Attention.start(5, lm.WIDTH)
