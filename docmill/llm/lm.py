@@ -31,7 +31,7 @@ START_DOCUMENTS = 600  # documents that the driver starts the attention on
 START_STEPS, STEP_WINDOWS = 700, 256
 SCORE_WINDOWS = 512
 RATE = 0.004
-PAIRS = 1_000_000  # pair counts kept apart; the rest backs off to the subword within its class
+PAIRS = 1_000_000  # pair counts that travel with the scoring function; the rest is joined
 HOT_WORDS = 1_000_000  # word counts that travel with the scoring function; the rest is joined
 FEATURES = 160  # frequent neighbours that tell classes apart
 PAIR_PRIOR, CLASS_PRIOR = 10.0, 4.0
@@ -178,7 +178,11 @@ def windows(sequences: list[np.ndarray], end: int) -> tuple[np.ndarray, np.ndarr
 
 @dataclass
 class Tables:
-    """Class map and count tables; all bounded by the vocabulary, CLASSES and PAIRS."""
+    """Class map and count tables; all bounded by the vocabulary, CLASSES and PAIRS.
+
+    Class map, prior, within and pair_class are of all pairs, pair_count of
+    the kept ones; what the others add to a score is joined (rare_pairs).
+    """
 
     end: int
     class_of: np.ndarray  # by id; the last entry (index -1) is the padding class
@@ -187,7 +191,7 @@ class Tables:
     pair_keys: PerfectHash
     pair_check: np.ndarray
     pair_count: np.ndarray
-    pair_class: np.ndarray  # counts of (previous id, class) over the kept pairs
+    pair_class: np.ndarray  # counts of (previous id, class)
 
     dense: np.ndarray | None = None  # log10 p(id | its class, previous id) over the ids in use
     rank: np.ndarray | None = None  # of the ids in use; -1 for others
@@ -203,10 +207,14 @@ class Tables:
             out[rare] = self._looked_up(before[rare], now[rare])
         return out
 
-    def _looked_up(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
-        key = before * len(self.within) + now
+    def kept(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the pairs are in the table, and their places."""
         at = self.pair_keys.positions(key.astype(np.uint64))
-        count = np.where((at >= 0) & (self.pair_check[at] == key), self.pair_count[at], 0.0)
+        return (at >= 0) & (self.pair_check[at] == key), at
+
+    def _looked_up(self, before: np.ndarray, now: np.ndarray) -> np.ndarray:
+        found, at = self.kept(before * len(self.within) + now)
+        count = np.where(found, self.pair_count[at], 0.0)
         return np.log10((count + PAIR_PRIOR * self.within[now]) / (self.pair_class[before, self.class_of[now]] + PAIR_PRIOR))
 
     def fill(self, previous: np.ndarray, now: np.ndarray, n: np.ndarray) -> None:
@@ -274,18 +282,26 @@ def top_by_count(counts: DataFrame, key: str, most: int) -> tuple[pa.Table, int]
     return counts.filter(bucket >= least).select(key, "n").toArrow(), threshold  # at most `most` rows
 
 
-def cluster(previous: np.ndarray, now: np.ndarray, n: np.ndarray, vocabulary: int, classes: int = CLASSES, rounds: int = 15) -> np.ndarray:
-    """Classes of ids by the frequent ids that stand beside them: weighted k-means on all pair counts."""
-    total = np.bincount(now, weights=n, minlength=vocabulary)
-    active = np.flatnonzero(total + np.bincount(previous, weights=n, minlength=vocabulary) > 0)
-    feature = np.full(vocabulary, FEATURES)
-    frequent = np.argsort(-total, kind="stable")[:FEATURES]
-    feature[frequent] = np.arange(len(frequent))
-    small = np.zeros(vocabulary, np.int64)
-    small[active] = np.arange(len(active))
-    width = FEATURES + 1
-    after = np.bincount(small[previous] * width + feature[now], weights=n, minlength=len(active) * width).reshape(-1, width)
-    before = np.bincount(small[now] * width + feature[previous], weights=n, minlength=len(active) * width).reshape(-1, width)
+@dataclass
+class Totals:
+    """What all pairs add up to; bounded by the vocabulary and CLASSES."""
+
+    class_of: np.ndarray
+    now: np.ndarray  # occurrences by id
+    pair_class: np.ndarray  # by previous id and class
+
+
+def frequent_ids(total: np.ndarray) -> np.ndarray:
+    return np.argsort(-total, kind="stable")[:FEATURES]
+
+
+def cluster(total: np.ndarray, active: np.ndarray, after: np.ndarray, before: np.ndarray, classes: int = CLASSES, rounds: int = 15) -> np.ndarray:
+    """Classes of ids by the frequent ids that stand beside them: weighted k-means.
+
+    after and before (active ids, FEATURES + 1) count the frequent ids, and
+    all others in the last column, that follow and precede.
+    """
+    vocabulary, width = len(total), FEATURES + 1
     x = np.sqrt(np.concatenate([after, before], 1) / np.maximum(total[active], 1)[:, None]).astype(np.float32)
     weight = np.sqrt(total[active]).astype(np.float32) + 1e-3
     centre = x[np.argsort(-total[active], kind="stable")[:classes]].copy()
@@ -302,13 +318,62 @@ def cluster(previous: np.ndarray, now: np.ndarray, n: np.ndarray, vocabulary: in
     return out
 
 
-def build_tables(pairs: pa.Table, end: int, vocabulary: int) -> Tables:
+def totals_of(previous: np.ndarray, now: np.ndarray, n: np.ndarray, vocabulary: int) -> Totals:
+    """Totals where all pairs are at hand."""
+    total = np.bincount(now, weights=n, minlength=vocabulary)
+    active = np.flatnonzero(total + np.bincount(previous, weights=n, minlength=vocabulary) > 0)
+    feature = np.full(vocabulary, FEATURES)
+    frequent = frequent_ids(total)
+    feature[frequent] = np.arange(len(frequent))
+    small = np.zeros(vocabulary, np.int64)
+    small[active] = np.arange(len(active))
+    width = FEATURES + 1
+    after = np.bincount(small[previous] * width + feature[now], weights=n, minlength=len(active) * width).reshape(-1, width)
+    before = np.bincount(small[now] * width + feature[previous], weights=n, minlength=len(active) * width).reshape(-1, width)
+    class_of = cluster(total, active, after, before)
+    pair_class = np.bincount(previous * CLASSES + class_of[now], weights=n, minlength=vocabulary * CLASSES).reshape(vocabulary, CLASSES)
+    return Totals(class_of, total, pair_class)
+
+
+def corpus_totals(counts: DataFrame, vocabulary: int) -> Totals:
+    """Totals of a table of pair counts that the driver doesn't hold; what comes to it is bounded by the vocabulary."""
+    spark = counts.sparkSession
+    split = counts.selectExpr(f"pair div {vocabulary} AS previous", f"pair % {vocabulary} AS now", "n")
+
+    def summed(df: DataFrame, *keys: str) -> list[np.ndarray]:
+        return [c.to_numpy() for c in df.groupBy(*keys).agg(F.sum("n").alias("n")).select(*keys, "n").toArrow().columns]
+
+    def mapped(key: str, ids: np.ndarray, to: np.ndarray) -> DataFrame:
+        names = spark.createDataFrame(pa.table({key: ids.astype(np.int64), "to": to.astype(np.int64)}))
+        return split.join(F.broadcast(names), key, "left")  # at most vocabulary rows
+
+    total, leads = np.zeros(vocabulary), np.zeros(vocabulary)
+    for key, out in (("now", total), ("previous", leads)):
+        ids, n = summed(split, key)
+        out[ids] = n
+    active = np.flatnonzero(total + leads > 0)
+    frequent = frequent_ids(total)
+    beside = []
+    for own, other in (("previous", "now"), ("now", "previous")):
+        ids, to, n = summed(mapped(other, frequent, np.arange(len(frequent))).fillna(FEATURES, ["to"]), own, "to")
+        cells = np.zeros((len(active), FEATURES + 1))
+        cells[np.searchsorted(active, ids), to] = n
+        beside.append(cells)
+    class_of = cluster(total, active, *beside)
+    pair_class = np.zeros((vocabulary, CLASSES))
+    ids, to, n = summed(mapped("now", active, class_of[active]), "previous", "to")
+    pair_class[ids, to] = n
+    return Totals(class_of, total, pair_class)
+
+
+def build_tables(pairs: pa.Table, end: int, vocabulary: int, totals: Totals | None = None) -> Tables:
+    """Tables with the counts of pairs; totals are of all pairs, of which these are some (all, where None)."""
     key, n = pairs.column(0).to_numpy().astype(np.int64), pairs.column(1).to_numpy().astype(np.float64)
     previous, now = key // vocabulary, key % vocabulary
-    class_of = cluster(previous, now, n, vocabulary)
-    total = np.bincount(now, weights=n, minlength=vocabulary) + 0.1
+    t = totals or totals_of(previous, now, n, vocabulary)
+    class_of, pair_class = t.class_of, t.pair_class
+    total = t.now + 0.1
     within = total / np.bincount(class_of[:-1], weights=total, minlength=CLASSES)[class_of[:-1]]
-    pair_class = np.bincount(previous * CLASSES + class_of[now], weights=n, minlength=vocabulary * CLASSES).reshape(vocabulary, CLASSES)
     share = np.bincount(class_of[:-1], weights=total, minlength=CLASSES) / total.sum()
     share = (share + 1e-9) / (share + 1e-9).sum()
     prior = np.log((pair_class + CLASS_PRIOR * share) / (pair_class.sum(1, keepdims=True) + CLASS_PRIOR))
@@ -363,8 +428,15 @@ def log10_classes(m: Attention, classes: np.ndarray, prior: np.ndarray, target:
     return ((picked - np.log(logits @ np.ones(logits.shape[1], np.float32))) / np.log(10)).reshape(target.shape)
 
 
+def rare_pairs(tables: Tables, sequence: np.ndarray) -> np.ndarray:
+    """The pairs of a sequence, its end included, that are not in the table."""
+    s = np.concatenate([[tables.end], sequence, [tables.end]]).astype(np.int64)
+    key = s[:-1] * len(tables.within) + s[1:]
+    return key[~tables.kept(key)[0]]
+
+
 def log10_probabilities(m: Attention, tables: Tables, sequences: list[np.ndarray]) -> np.ndarray:
-    """The log10 probability of each sequence, its end included."""
+    """The log10 probability of each sequence, its end included; pairs that are not in the table count as never seen."""
     out = np.zeros(len(sequences))
     x, y, live, owner = windows(sequences, tables.end)
     for a in range(0, len(x), SCORE_WINDOWS):
@@ -525,6 +597,26 @@ def word_baseline(docs: DataFrame, counts: DataFrame, ends: int) -> tuple[DataFr
     return scored, n_all
 
 
+# --- pairs beyond the table ---------------------------------------------------
+
+
+def rare_gain(first: DataFrame, counts: DataFrame, pairs: pa.Table, tables: Tables) -> DataFrame:
+    """(row, _gain): what the counts of the pairs in `rest` add to a row's score.
+
+    A pair's count n changes log10((0 + a) / b) into log10((n + a) / b) with
+    a = PAIR_PRIOR * within, so it adds log10(1 + n / a).
+    """
+    spark, vocabulary = first.sparkSession, len(tables.within)
+    rare = counts.filter(F.col("n") < int(pairs.column(1).to_numpy().min())) if pairs.num_rows else counts
+    met = first.select("row", F.explode("rest").alias("pair")).groupBy("row", "pair").agg(F.count("*").alias("k")).join(rare, "pair")
+    within = spark.createDataFrame(pa.table({"now": np.arange(vocabulary), "a": PAIR_PRIOR * tables.within}))
+    met = met.withColumn("now", F.col("pair") % vocabulary).join(F.broadcast(within), "now")  # vocabulary rows
+    # Equal rows share a name, so what the join adds up for them is divided among them.
+    copies = first.groupBy("row").agg(F.count("*").alias("_rows"))
+    gains = met.groupBy("row").agg(F.sum(F.col("k") * F.log10(1 + F.col("n") / F.col("a"))).alias("_sum"))
+    return gains.join(copies, "row").select("row", (F.col("_sum") / F.col("_rows")).alias("_gain"))
+
+
 # --- the operator ----------------------------------------------------------
 
 
@@ -547,8 +639,10 @@ def lm_scores(docs: DataFrame, tokenizer: str, *, held_out: str = DEFAULT_HELD_O
     learned = tokens.filter("NOT held_out")
     base, train_tokens = word_baseline(rows, counts, learned.count())
 
-    pairs, _ = top_by_count(materialise(pair_counts(learned, end, vocabulary), "pairs"), "pair", PAIRS)
-    tables = build_tables(pairs, end, vocabulary)
+    all_pairs = materialise(pair_counts(learned, end, vocabulary), "pairs")
+    pairs, _ = top_by_count(all_pairs, "pair", PAIRS)
+    whole = pairs.num_rows == all_pairs.count()
+    tables = build_tables(pairs, end, vocabulary, None if whole else corpus_totals(all_pairs, vocabulary))
     sample = learned.select("doc_id", "ids").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCUMENTS).collect()  # at most START_DOCUMENTS rows
     start = start_training(tables, [np.frombuffer(bytes(r.ids), np.uint16) for r in sample])
     shared = spark.sparkContext.broadcast(tables)  # bounded by vocabulary, CLASSES and PAIRS
@@ -558,9 +652,18 @@ def lm_scores(docs: DataFrame, tokenizer: str, *, held_out: str = DEFAULT_HELD_O
         for batch in batches:
             sequences = [np.frombuffer(s.as_buffer(), np.uint16) for s in batch.column(3)]
             for a in range(0, len(sequences), 100):
-                out = log10_probabilities(model, shared.value, sequences[a : a + 100])
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, 100).columns[:3], pa.array(out)], ["row", "doc_id", "held_out", "score"])
-
-    scores = tokens.mapInArrow(arrow_task(score), "row string, doc_id long, held_out boolean, score double")
+                own = sequences[a : a + 100]
+                columns = [*batch.slice(a, 100).columns[:3], pa.array(log10_probabilities(model, shared.value, own))]
+                if not whole:
+                    columns.append(pa.array([rare_pairs(shared.value, s) for s in own], pa.list_(pa.int64())))
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "score", "rest"][: len(columns)])
+
+    schema = "row string, doc_id long, held_out boolean, score double"
+    if whole:
+        scores = tokens.mapInArrow(arrow_task(score), schema)
+    else:
+        first = materialise(tokens.mapInArrow(arrow_task(score), schema + ", rest array<long>"), "scores")
+        scores = first.drop("rest").join(rare_gain(first, all_pairs, pairs, tables), "row", "left")
+        scores = scores.withColumn("score", F.col("score") + F.coalesce("_gain", F.lit(0.0))).drop("_gain")
     out = scores.join(base, "row")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -104,6 +104,24 @@ def test_base_scores_and_held_out_gain(spark, hot, monkeypatch):
     assert long and sum(r.score for r in long) > sum(r.base_score for r in long)
 
 
+@pytest.mark.parametrize("most", [60, 0])
+def test_scores_do_not_depend_on_the_pairs_that_travel(spark, most, monkeypatch):
+    monkeypatch.setattr(lm, "start_training", lambda tables, sequences: lm.Attention.start())
+    monkeypatch.setattr(lm, "train_everywhere", lambda tokens, tables, start: start)
+    rng = np.random.default_rng(4)
+    rows = [(i, prose(rng, 60, ["le ", "der ", "the "][i % 3])) for i in range(60)] + [(500, None), (None, "nobody"), (7, "twice the "), (7, "twice the ")]
+
+    def scores():
+        got = lm.lm_scores(table(spark, rows), public_tokenizers.path("word_bpe_49k.json")).collect()
+        return sorted((str(r.doc_id), r.n_tokens, r.score) for r in got)
+
+    want = scores()
+    monkeypatch.setattr(lm, "PAIRS", most)
+    got = scores()
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want], rtol=1e-4)
+
+
 def test_lm_of_an_empty_table(spark):
     assert lm.lm_scores(table(spark, []), public_tokenizers.path("word_bpe_49k.json")).collect() == []
 
