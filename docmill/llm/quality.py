@@ -4,7 +4,9 @@ The classifier is a logistic regression on hashed word and character n-grams
 (shares of a text, so long and short texts compare), fitted in numpy on a
 bounded sample of labelled rows and calibrated on rows it was not fitted on.
 Its weights, a fixed-size array, travel with the scoring function; texts are
-scored in Arrow batches against a fixed threshold.
+scored in Arrow batches against a fixed threshold. The sample holds both
+classes alike where labels are many, so the calibration is moved back to the
+odds of all labels: a verdict does not hang on how many labels there are.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from docmill.llm.textkernel import IS_SPACE, LOWER, column_bytes, mix, prefix_ha
 SLICE_BYTES = 1 << 20
 BITS = 16  # of each hashed family: words and word pairs; character n-grams
 CHAR_N = 4
-MAX_LABELLED = 2000  # labelled rows the classifier may see; the only bounded sample here
+MAX_LABELLED = 4000  # labelled rows the classifier may see; the only bounded sample here
 STEPS, RATE, DECAY = 150, 0.3, 1e-5
 CALIBRATION_SHARE = 5  # one labelled row of so many is kept for calibration
 THRESHOLD = 0.2  # kept: the calibrated probability of good quality is at least this
@@ -134,10 +136,24 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(self.a * margin + self.b, -50, 50)))
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, label): one label, 0 or 1, of each labelled id."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna()
+    return known.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
+
+
+def prior_shift(labels: DataFrame, max_labelled: int) -> float:
+    """log of (good : bad among all labels) over (good : bad in the sample)."""
+    n = {r.label: r.n for r in known_labels(labels).groupBy("label").agg(F.count("*").alias("n")).collect()}  # two rows
+    if len(n) < 2:
+        return 0.0
+    half = max_labelled // 2
+    return float(np.log(n[1] / n[0]) - np.log(min(n[1], half) / min(n[0], half)))
+
+
 def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
     """At most max_labelled rows (label, buckets, shares), chosen by a hash of the id and drawn alike from both classes."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).dropna()
-    known = known.filter(F.col("label").isin(0, 1)).groupBy("doc_id").agg(F.min("label").alias("label"))
+    known = known_labels(labels)
     picked = known.filter("label = 0").orderBy(F.xxhash64("doc_id")).limit(max_labelled // 2).union(known.filter("label = 1").orderBy(F.xxhash64("doc_id")).limit(max_labelled // 2))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) ->
     lengths = [len(index[i]) for i in use]
     w, bias = _descend(np.concatenate([index[i] for i in use]), np.concatenate([value[i] for i in use]).astype(float), np.repeat(np.arange(len(use)), lengths), y[use], weigh[use], size)
     margin = np.array([w[i] @ v for i, v in zip(index, value, strict=True)]) + bias
-    return Classifier(w.astype(np.float32), bias, *_calibrate(margin[held], y[held]))
+    a, b = _calibrate(margin[held], y[held])
+    return Classifier(w.astype(np.float32), bias, a, b + prior_shift(labels, max_labelled))
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, max_labelled: int = MAX_LABELLED, threshold: float = THRESHOLD, keep_columns: bool = False) -> DataFrame:

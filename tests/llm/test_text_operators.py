@@ -166,6 +166,20 @@ def test_quality_without_labels_keeps_what_passes_the_rules(spark):
     assert quality.quality(table(spark, []), none).collect() == []
 
 
+def test_quality_calibration_is_at_the_odds_of_all_labels(spark):
+    rng = np.random.default_rng(8)
+    good = [rng.random() < 0.87 for _ in range(700)]
+    text = lambda g: " ".join(f"{'good' if g == (rng.random() < 0.6) else 'bad'}{rng.integers(0, 9)}" for _ in range(20))
+    docs = table(spark, [(i, text(g)) for i, g in enumerate(good)])
+    labels = spark.createDataFrame([(i, int(g)) for i, g in enumerate(good)], "doc_id long, quality int")
+    raw = [r.text.encode() for r in docs.select("text").collect()]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    share = sum(good) / len(good)
+    for most in (4000, 160):  # all labels; as many of each class
+        mean = quality.fit(docs, labels, most).probability(data, offsets).mean()
+        assert abs(mean - share) < 0.1
+
+
 def test_quality_on_held_out_labels():
     rng = random.Random(1)
     vocabulary = [f"word{i}" for i in range(300)]
