@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -15,7 +16,6 @@ from docmill.functions.paths import Scope, quoted, resolve, split_path
 from docmill.operators import shaping, windows
 from docmill.operators.filters import compile_filter
 
-MAX_DEPTH = 64  # steps of a $graphLookup that names no maxDepth
 BINS = 1000  # ranges in which running totals are made
 
 
@@ -455,11 +455,16 @@ def matched(df, spec, context):
     return keyed.join(keys, keyed["_lk"].eqNullSafe(keys["_fk"]), "left_semi" if spec["some"] else "left_anti").drop("_lk")
 
 
+def _cut(df):
+    """df computed once, without its lineage: plans of many steps would double with each."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 @stage("$graphLookup")
 def graph_lookup(df, spec, context):
     """Documents reachable from startWith, step by step; each once, with its least depth if asked for."""
     other = _other(spec["from"], context)
-    depth_field, most = spec.get("depthField"), spec.get("maxDepth", MAX_DEPTH)
+    depth_field, most = spec.get("depthField"), spec.get("maxDepth")
     rows = df.withColumn("_row", F.monotonically_increasing_id())
     start, kind = typed(spec["startWith"], context.scope(df))
     values = F.explode(start) if isinstance(kind, T.ArrayType) else start
@@ -470,15 +475,18 @@ def graph_lookup(df, spec, context):
     nodes = other.select(target.alias("_to"), origin.alias("_from"), _document(other).alias("_doc"))
     frontier = rows.select("_row", values.alias("_value")).distinct()
     found = None
-    for depth in range(most + 1):
+    # Without maxDepth until nothing new is met: each step adds a document or is the last.
+    for depth in itertools.count() if most is None else range(most + 1):
         step = frontier.join(nodes, frontier["_value"] == nodes["_to"]).select("_row", "_from", "_doc")
         step = step.withColumn("_depth", F.lit(depth).cast("long"))
         if found is not None:
             step = step.join(found.select("_row", "_doc"), ["_row", "_doc"], "left_anti").select("_row", "_from", "_doc", "_depth")
-        step = step.dropDuplicates(["_row", "_doc"]).cache()
+        step = _cut(step.dropDuplicates(["_row", "_doc"]))
         if step.isEmpty():
             break
         found = step if found is None else found.unionByName(step)
+        if depth % 16 == 15:  # one table again, so that joins with it stay small
+            found = _cut(found.coalesce(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
         next_ = F.explode("_from") if isinstance(origin_kind, T.ArrayType) else F.col("_from")
         frontier = step.select("_row", next_.alias("_value")).filter("_value IS NOT NULL").distinct()
     fields = [F.col("_doc").getField(c).alias(c) for c in other.columns]

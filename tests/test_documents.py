@@ -352,3 +352,13 @@ def test_inventory():
     assert set(window_operator_names()) == {"$rank", "$denseRank", "$documentNumber", "$shift", "$expMovingAvg", "$derivative", "$integral", "$covariancePop", "$covarianceSamp", "$locf", "$linearFill"}
     assert {"$sum", "$avg", "$count", "$first", "$last", "$topN", "$bottomN", "$push", "$addToSet", "$mergeObjects", "$median", "$percentile"} <= set(accumulator_names())
     assert {"$match", "$group", "$lookup", "$graphLookup", "$facet", "$bucketAuto", "$setWindowFields", "$densify", "$fill", "$merge", "$out", "$redact", "$unionWith"} <= set(stage_names())
+
+
+def test_graph_lookup_without_max_depth_follows_the_whole_chain(spark, monkeypatch):
+    monkeypatch.setattr("docmill.operators.stages.MAX_DEPTH", 3, raising=False)
+    nodes = spark.createDataFrame([(i, i + 1 if i < 19 else 0) for i in range(20)], "node int, next int")  # a ring
+    starts = Collection(spark.createDataFrame([(5,)], "start int"), {"nodes": nodes})
+    lookup = {"from": "nodes", "startWith": "$start", "connectFromField": "next", "connectToField": "node", "as": "path", "depthField": "depth"}
+    for more, n in (({}, 20), ({"maxDepth": 2}, 3)):
+        (row,) = starts.aggregate([{"$graphLookup": lookup | more}]).collect()
+        assert sorted((d.depth, d.node) for d in row.path) == [(k, (5 + k) % 20) for k in range(n)]
