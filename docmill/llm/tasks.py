@@ -10,13 +10,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 1000
+BATCH_BYTES = 16 << 20
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Have Spark hand over texts in batches of at most BATCH_ROWS rows, unless the session asks for fewer."""
+    """Have Spark hand over texts in batches of at most BATCH_ROWS rows and about BATCH_BYTES, unless the session asks for fewer."""
     if int(spark.conf.get(_ROWS)) > BATCH_ROWS or int(spark.conf.get(_ROWS)) <= 0:
         spark.conf.set(_ROWS, str(BATCH_ROWS))
+    spark.conf.set(_BYTES, str(BATCH_BYTES))
 
 
 def free_name(df: DataFrame, base: str) -> str:

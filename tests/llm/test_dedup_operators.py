@@ -202,3 +202,38 @@ def test_one_passage_in_every_document(spark):
     rows = [(i, f"{i * 7919} {passage} {i * 104729}") for i in range(300)]
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixdedup.drop_repeats(table(spark, rows)).collect())
     assert got == cut(rows, 50)
+
+
+def told(found):
+    return sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in found.collect())
+
+
+@pytest.mark.parametrize("hot", [0, 3, 50])
+def test_strings_of_hot_anchors_go_by_their_own_hashes(spark, hot):
+    rng = random.Random(hot)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(90))
+    rows = [(i, f"{rng.random()} {passage[: rng.randint(40, 90)]} {rng.random()} {passage[rng.randint(0, 20) :]}") for i in range(60)]
+    assert told(suffixdedup.drop_repeats(table(spark, rows), hot=hot)) == cut(rows, 50)
+
+
+def test_texts_longer_than_a_slice_and_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "SLICE_BYTES", 300)
+    monkeypatch.setattr(suffixdedup, "LEAST_BLOCK", 500)
+    rng = random.Random(9)
+    passages = ["".join(rng.choice("abcdef") for _ in range(n)) for n in (60, 80, 400)]
+    rows = [(i, "".join(rng.choice([*passages, f"{rng.random()}"]) for _ in range(rng.randint(1, 20)))) for i in range(25)]
+    assert max(len(t) for _, t in rows) > 2000
+    assert told(suffixdedup.drop_repeats(table(spark, rows))) == cut(rows, 50)
+
+
+def test_bytes_that_repeat_nowhere_stay(spark):
+    # 64-bit hashes of these two agree in their upper halves, and they share an anchor.
+    rows = [(1, "zeyewqmyoiserhgdrqcsprlqtuqswwedfrqlseuiuspdbixyfv"), (2, "zeyewqmyoiserhgdrqcsprlqamhfqsvqsgltykvvknlekqltio")]
+    assert [r[2] for r in told(suffixdedup.drop_repeats(table(spark, rows)))] == [0, 0]
+
+
+def test_different_texts_of_one_id_are_cut_each_by_itself(spark):
+    a, b, c = ("".join(random.Random(k).choice("abcdefgh") for _ in range(70)) for k in range(3))
+    rows = [(1, a + b), (2, f"{c} x {a}"), (2, f"y {b} {c}"), (2, None), (3, c)]
+    got = {(r.doc_id, bytes(r.kept)) for r in suffixdedup.drop_repeats(table(spark, rows)).collect()}
+    assert got == {(1, (a + b).encode()), (2, f"{c} x ".encode()), (2, f"y  {c}".encode()), (2, b""), (3, b"")}
