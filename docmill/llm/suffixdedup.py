@@ -29,11 +29,11 @@ from pyspark.sql import DataFrame, functions as F
 from docmill.llm.gsaca import suffix_array
 from docmill.llm.tasks import arrow_task, bounded_batches
 from docmill.llm.textkernel import column_bytes, mix, prefix_hashes, row_slices, span_hashes
-from docmill.llm.workspace import materialise
+from docmill.llm.workspace import discard, materialise
 
 SPAN = 50
 GRAM = 24
-SLICE_BYTES = 1 << 20  # of text in one row of the packed table; longer texts are split into overlapping parts
+SLICE_BYTES = 1 << 18  # of text in one row of the packed table; longer texts are split into overlapping parts
 SLICE_ROWS = 60_000
 BLOCKS = 512  # about so many blocks, as long as they stay within the next two sizes
 LEAST_BLOCK, MOST_BLOCK = 1 << 20, 32 << 20
@@ -576,9 +576,10 @@ def drop_repeats(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, hot: in
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = min(MOST_TASKS, max(1, -(-total // TASK_BYTES)))
     shards = max(1, -(-total // SHARD_BYTES))
-    blocks = materialise(pack(rows, min(max(total // BLOCKS, LEAST_BLOCK), MOST_BLOCK), span), "blocks")
-    shared = repeated_anchors(send_anchors(blocks, shards, span, gram), min(MOST_TASKS, shards), hot)
-    cuts = materialise(cut_segments(blocks, shared, SEGMENT_SHARDS * shards, tasks, span, gram), "segments")
+    blocks = materialise(pack(rows, min(max(total // BLOCKS, LEAST_BLOCK), MOST_BLOCK), span), "blocks", compression="zstd")
+    shared = materialise(repeated_anchors(send_anchors(blocks, shards, span, gram), min(MOST_TASKS, shards), hot), "shared-anchors")
+    cuts = materialise(cut_segments(blocks, shared, SEGMENT_SHARDS * shards, tasks, span, gram), "segments", compression="zstd")
+    discard(shared)
     sent, places = cuts.filter("shard IS NOT NULL"), cuts.filter("shard IS NULL")
-    replies = find_holders(sent, min(MOST_TASKS, SEGMENT_SHARDS * shards), span)
+    replies = materialise(find_holders(sent, min(MOST_TASKS, SEGMENT_SHARDS * shards), span), "holders")
     return cut_texts(blocks, places.select("block", "slice", "numbers", "keys", "sizes"), replies, tasks, span)

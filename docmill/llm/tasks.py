@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
