@@ -241,9 +241,9 @@ _SENT_SCHEMA = "shard long, block long, slice int, numbers binary, keys binary,
 def cut_segments(blocks: DataFrame, shared: DataFrame, shards: int, tasks: int, span: int, gram: int) -> DataFrame:
     """Rows of two kinds: distinct segments of a block for a shard, and where a slice has them.
 
-    Segments have a number in their block, an anchor, the smallest and
-    largest document that holds them in the block, their size and bytes. A row
-    without a shard says which segments a slice has: numbers, keys (its row)
+    Segments have a number in their block, an anchor, the smallest document
+    that holds them in the block, the largest one's distance from it, their
+    size and (compressed) bytes. A row without a shard says which segments a slice has: numbers, keys (its row)
     and sizes (where it starts) as packed arrays.
     """
 
@@ -275,7 +275,8 @@ def cut_segments(blocks: DataFrame, shared: DataFrame, shards: int, tasks: int,
                 own = order[a:b]
                 taken = [texts[i] for i in own.tolist()]
                 sizes = np.array([len(t) for t in taken], np.int32)
-                rows.append((own.astype(np.int32).tobytes(), self.key[own].tobytes(), self.low[own].tobytes(), self.high[own].tobytes(), sizes.tobytes(), b"".join(taken)))
+                low = self.low[own]
+                rows.append((own.astype(np.int32).tobytes(), self.key[own].tobytes(), low.tobytes(), (self.high[own] - low).tobytes(), sizes.tobytes(), pa.compress(b"".join(taken), "zstd", asbytes=True)))
             columns = list(zip(*rows)) or [[]] * 6
             head = [to[at[:-1]], [block] * len(rows), [None] * len(rows)]
             return _batch(dict(zip(_SENT, zip([*head, *columns], _SENT.values(), strict=True), strict=True)))
@@ -420,8 +421,9 @@ def find_holders(sent: DataFrame, tasks: int, span: int) -> DataFrame:
 
     def found(rows: list[dict]) -> Iterator[pa.RecordBatch]:
         number, key, low, high, size = (np.concatenate([np.frombuffer(r[n], t) for r in rows]) for n, t in (("numbers", np.int32), ("keys", np.uint64), ("low", np.int64), ("high", np.int64), ("sizes", np.int32)))
+        high = low + high
         block = np.repeat(np.array([r["block"] for r in rows]), [len(r["numbers"]) // 4 for r in rows])
-        raw = b"".join(r["data"] for r in rows)
+        raw = b"".join(pa.decompress(r["data"], int(np.frombuffer(r["sizes"], np.int32).sum()), "zstd", asbytes=True) for r in rows)
         ends = np.cumsum(size, dtype=np.int64)
         seen: dict[bytes, int] = {}
         text = np.array([seen.setdefault(raw[a:b], len(seen)) for a, b in zip((ends - size).tolist(), ends.tolist())])
