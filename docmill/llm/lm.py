@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docmill.llm.perfecthash import PerfectHash
 from docmill.llm.tasks import arrow_task, bounded_batches
-from docmill.llm.textkernel import LOWER, column_bytes, prefix_hashes, row_slices, span_hashes, word_spans
+from docmill.llm.textkernel import LOWER, column_bytes, row_slices, word_hashes, word_spans
 from docmill.llm.tokens import encoder, text_batches
 from docmill.llm.workspace import materialise
 
@@ -507,7 +507,7 @@ def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
 def _word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     low = LOWER[data]
     starts, ends, bounds = word_spans(low, offsets)
-    return span_hashes(prefix_hashes(low), starts, ends).view(np.int64), bounds
+    return word_hashes(low, starts, ends).view(np.int64), bounds
 
 
 def word_counts(training: DataFrame) -> DataFrame:

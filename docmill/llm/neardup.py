@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from docmill.llm.tasks import arrow_task, bounded_batches, free_name
-from docmill.llm.textkernel import LOWER, column_bytes, mix, prefix_hashes, row_slices, shingle_hashes, span_hashes, word_spans
+from docmill.llm.textkernel import LOWER, column_bytes, mix, row_slices, shingle_hashes, word_hashes, word_spans
 from docmill.llm.workspace import materialise
 
 SLICE_BYTES = 1 << 20
@@ -66,7 +66,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[n
     """The sorted distinct shingle hashes of each text of a slice."""
     low = LOWER[data]
     starts, ends, bounds = word_spans(low, offsets)
-    words = span_hashes(prefix_hashes(low), starts, ends)
+    words = word_hashes(low, starts, ends)
     for a, b in zip(bounds[:-1], bounds[1:]):
         yield np.unique(shingle_hashes(words[a:b], size))
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from docmill.llm.tasks import arrow_task, bounded_batches
-from docmill.llm.textkernel import IS_SPACE, LOWER, column_bytes, mix, prefix_hashes, row_slices, span_hashes, word_spans
+from docmill.llm.textkernel import IS_SPACE, LOWER, column_bytes, mix, prefix_hashes, row_slices, word_hashes, word_spans
 
 SLICE_BYTES = 1 << 20
 BITS = 16  # of each hashed family: words and word pairs; character n-grams
@@ -62,7 +62,7 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     sums = prefix_hashes(data)
     starts, ends, bounds = word_spans(data, offsets)
     row = np.repeat(np.arange(rows), np.diff(bounds))
-    words = span_hashes(sums, starts, ends)
+    words = word_hashes(data, starts, ends, sums)
 
     covered = np.zeros(len(words) + 1, np.int64)
     w = REPEAT_WINDOW
@@ -79,7 +79,7 @@ def text_statistics(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarr
     line_starts, line_ends, line_bounds = word_spans(data, offsets, _IS_NEWLINE)
     with_word = np.searchsorted(starts, line_ends) > np.searchsorted(starts, line_starts)
     line_row = np.repeat(np.arange(rows), np.diff(line_bounds))
-    keys = mix(mix(line_row.astype(np.uint64)) + span_hashes(sums, line_starts, line_ends))
+    keys = mix(mix(line_row.astype(np.uint64)) + word_hashes(data, line_starts, line_ends, sums))
     repeats = np.zeros(len(keys), bool)
     repeats[with_word] = _repeated(keys[with_word])[1]
     return {
@@ -95,7 +95,7 @@ def ngram_buckets(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarra
     """For each family the buckets of a slice's n-grams and their bounds by text."""
     low = LOWER[data]
     starts, ends, bounds = word_spans(low, offsets)
-    words = span_hashes(prefix_hashes(low), starts, ends)
+    words = word_hashes(low, starts, ends)
     down = np.uint64(64 - BITS)
     pairs = mix(words[:-1] * np.uint64(3) + words[1:]) if len(words) else words
     if len(pairs):

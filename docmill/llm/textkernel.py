@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 IS_SPACE = np.zeros(256, bool)
@@ -18,6 +19,7 @@ IS_SPACE[list(SPACES)] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+LONG_SPAN = 128
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE_CODES = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -78,11 +80,24 @@ def prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end], the same for equal bytes anywhere."""
+    """64-bit hashes of data[start:end], the same for equal bytes anywhere; for spans of up to LONG_SPAN bytes.
+
+    Powers run modulo 2^64, under which long strings of a regular build
+    (Thue-Morse words and their complements) collide for every base.
+    """
     _, down = _power_tables(len(sums))
     return mix((sums[ends] - sums[starts]) * down[starts])
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of data[start:end] of any length."""
+    out = span_hashes(prefix_hashes(data) if sums is None else sums, starts, ends)
+    long = np.flatnonzero(ends - starts > LONG_SPAN)
+    for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist()):
+        out[i] = xxhash.xxh3_64_intdigest(data[a:b])
+    return out
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, row bounds) of maximal runs of non-separator bytes.
 
