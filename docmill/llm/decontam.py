@@ -8,6 +8,7 @@ longest match that ends there. No shuffle: texts are read once, where they are.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -135,18 +136,17 @@ class Automaton:
 
 
 def item_groups(items: DataFrame, most: int) -> Iterator[list[tuple[str, list[bytes]]]]:
-    """The items' words in groups of about `most` words; read one partition after the other."""
-    group, n = [], 0
-    for r in items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).distinct().toLocalIterator():
-        words = normal_words((r.text or "").encode())
-        if words and r.item_id is not None:
-            group.append((r.item_id, words))
-            n += len(words)
-        if n >= most:
+    """The items' words in groups of about `most` words, one after the other: the driver holds this one and the next at most."""
+    rows = items.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id IS NOT NULL AND text IS NOT NULL").distinct()
+    words = rows.agg(F.sum(F.size(F.split("text", "[^0-9A-Za-z\\x{80}-\\x{10FFFF}]+")))).first()[0] or 0
+    groups = -(-words // most)
+    if groups > 1:
+        rows = materialise(rows.withColumn("_group", F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))), "items")
+    for k in range(groups):
+        own = rows.filter(F.col("_group") == k) if groups > 1 else rows
+        group = [(r.item_id, words) for r in own.select("item_id", "text").collect() if (words := normal_words(r.text.encode()))]
+        if group:
             yield group
-            group, n = [], 0
-    if group:
-        yield group
 
 
 def track_matches(docs: DataFrame, items: DataFrame, finish: Finish, schema: str | T.StructType, *, window: int = WINDOW, automaton_words: int = AUTOMATON_WORDS) -> DataFrame:
@@ -160,15 +160,16 @@ def track_matches(docs: DataFrame, items: DataFrame, finish: Finish, schema: str
     bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     names = docs.columns
-    groups = list(item_groups(items, automaton_words)) or [[]]
-    rows, extra = docs, (free_name(docs, "_spans"), free_name(docs, "_items"))
-    if len(groups) > 1:
+    groups = item_groups(items, automaton_words)
+    group, following = next(groups, []), next(groups, None)
+    rows, extra, several = docs, (free_name(docs, "_spans"), free_name(docs, "_items")), following is not None
+    if several:
         rows = docs.withColumns({extra[0]: F.array().cast("array<long>"), extra[1]: F.array().cast("array<string>")})
-    for k, group in enumerate(groups):
-        last = k == len(groups) - 1
-        shared = context.broadcast((f"{context.applicationId}-{id(group)}-{len(_built)}-{k}", group, window))  # at most automaton_words words
+    while True:
+        last = following is None
+        shared = context.broadcast((uuid.uuid4().hex, group, window))  # about automaton_words words
 
-        def track(batches: Iterator[pa.RecordBatch], shared=shared, last=last, several=len(groups) > 1) -> Iterator[pa.RecordBatch]:
+        def track(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             key, group, window = shared.value
             if key not in _built:
                 _built.clear()
@@ -194,8 +195,11 @@ def track_matches(docs: DataFrame, items: DataFrame, finish: Finish, schema: str
                         flat = pa.array([[x for s in spans for x in s] for spans in all_spans], pa.list_(pa.int64()))
                         yield pa.RecordBatch.from_arrays([*own.columns, flat, pa.array(all_items, pa.list_(pa.string()))], [*names, *extra])
 
-        rows = rows.mapInArrow(arrow_task(track), schema) if last else materialise(rows.mapInArrow(arrow_task(track), rows.schema), "tracked")
-    return rows
+        if last:
+            return rows.mapInArrow(arrow_task(track), schema)
+        rows = materialise(rows.mapInArrow(arrow_task(track), rows.schema), "tracked")
+        shared.unpersist()
+        group, following = following, next(groups, None)
 
 
 def merge_spans(flat: list[int]) -> list[tuple[int, int]]:
