@@ -52,56 +52,67 @@ def blob_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def scan(blobs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Findings (blob, kind, version, start, end) of the texts (blob, text) by the rules; code points, end exclusive."""
+    """Findings (blob, kind, version, start, end) of the texts (blob, due, text); code points, end exclusive.
+
+    Bit i of due says that rule i has yet to be run on the text.
+    """
     compiled = [(r, re.compile(r.pattern)) for r in rules]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, texts = batch.column(0), batch.column(1)
+            names, due, texts = batch.columns
             rows: list[tuple] = []
-            for rule, pattern in compiled:
-                for i in pc.indices_nonzero(pc.fill_null(pc.match_substring_regex(texts, rule.hint), False)).to_pylist():
+            for k, (rule, pattern) in enumerate(compiled):
+                own = pc.indices_nonzero(pc.bit_wise_and(due, 1 << k))
+                hinted = pc.match_substring_regex(texts.take(own), rule.hint)
+                for i in own.filter(hinted).to_pylist():
                     name = names[i].as_py()
                     rows += [(name, rule.kind, rule.version, *m.span()) for m in pattern.finditer(texts[i].as_py()) if len(m[rule.group]) >= rule.least]
             columns = list(zip(*rows)) or [[]] * 5
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["blob", "kind", "version", "start", "end"])
 
-    return blobs.select("blob", "text").mapInArrow(arrow_task(find), "blob string, kind string, version int, start long, end long")
+    return blobs.select("blob", "due", "text").mapInArrow(arrow_task(find), "blob string, kind string, version int, start long, end long")
+
+
+def due_pairs(paths: DataFrame, rules: tuple[Rule, ...], ledger: DataFrame | None) -> DataFrame:
+    """(blob, path, due): the blobs that some rule version hasn't scanned, one path of each, and those rules as bits."""
+    # One row of docs stands for a blob: texts move once, spread by id and not by blob, so copies meet nowhere.
+    blobs = paths.groupBy("blob").agg(F.min("path").alias("path"))
+    if ledger is None:
+        return blobs.withColumn("due", F.lit((1 << len(rules)) - 1).cast("long"))
+    seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("_seen"))
+    bits = [F.when(F.coalesce(F.array_contains("_seen", f"{r.kind}:{r.version}"), F.lit(False)), 0).otherwise(1 << k) for k, r in enumerate(rules)]
+    return blobs.join(seen, "blob", "left").select("blob", "path", sum(bits, F.lit(0)).cast("long").alias("due")).filter("due > 0")
 
 
 def secret_findings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, *, ledger: DataFrame | None = None, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(paths, findings, ledger) after scanning what the ledger does not hold.
 
     paths: (path, blob), one row per row of docs. findings: (blob, kind,
-    version, start, end) of all scanned blobs, those of `known` (an earlier
-    run's findings) included. ledger: (blob, kind, version) scanned so far.
-    A null text is the empty blob; rows of one id are its versions; an empty
-    table adds nothing; other columns are not read.
+    version, start, end) by the rules given, those of `known` (an earlier
+    run's findings) included where a rule still has their version. ledger:
+    (blob, kind, version) scanned so far. Only pairs of a blob and a rule
+    version that the ledger lacks are scanned. A null text is the empty blob;
+    rows of one id are its versions; an empty table adds nothing; other
+    columns are not read.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(docs.sparkSession)
     paths = materialise(blob_ids(docs, id_col, text_col), "paths")
-    wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-    # One row of docs stands for a blob: texts move once, spread by id and not by blob, so copies meet nowhere.
-    first = paths.groupBy("blob").agg(F.min("path").alias("path"))
-    pairs = first.select("blob", F.inline(wanted))
-    if ledger is not None:
-        unseen = pairs.join(ledger.select("blob", "kind", "version"), ["blob", "kind", "version"], "left_anti")
-        due = unseen.groupBy("blob").agg(F.collect_set("kind").alias("kinds"))
-        first = first.join(due, "blob")
+    due = materialise(due_pairs(paths, rules, ledger), "due")
     texts = docs.select(F.col(id_col).alias("path"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     texts = texts.withColumn("blob", F.sha2("text", 256))
-    first = first.select(F.col("path").alias("_path"), F.col("blob").alias("_blob"))
-    chosen = texts.join(first, F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob")), "left_semi")
+    first = due.select(F.col("path").alias("_path"), F.col("blob").alias("_blob"), "due")
+    chosen = texts.join(first, F.col("path").eqNullSafe(F.col("_path")) & (F.col("blob") == F.col("_blob")))
     found = scan(chosen, rules)
-    if ledger is not None:
-        found = found.join(unseen, ["blob", "kind", "version"], "left_semi")
-    found = found.distinct()
     if known is not None:
-        found = found.unionByName(known.select(*found.columns)).distinct()
-    scanned = pairs if ledger is None else ledger.select("blob", "kind", "version").union(unseen)
-    return paths, found, scanned.distinct()
+        current = F.concat_ws(":", "kind", "version").isin([f"{r.kind}:{r.version}" for r in rules])
+        found = found.unionByName(known.filter(current).select(*found.columns))
+    wanted = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.lit(1 << k).alias("bit")) for k, r in enumerate(rules)])
+    scanned = due.select("blob", "due", F.inline(wanted)).filter(F.col("due").bitwiseAND(F.col("bit")) > 0).select("blob", "kind", "version")
+    if ledger is not None:
+        scanned = ledger.select("blob", "kind", "version").union(scanned)
+    return paths, materialise(found.distinct(), "findings"), materialise(scanned, "ledger")
 
 
 def findings_by_path(paths: DataFrame, findings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
