@@ -1,8 +1,9 @@
 """Language-model scores from a causal self-attention model on subword ids.
 
 The model predicts the next subword in two steps: its class, from the previous
-subword and an attention over the context, then the subword within its class,
-from the previous subword. Counts (subwords, pairs, words) come from all
+subword and an attention over the subwords of the context (frequent ones with
+an embedding of their own, others with one for their class), then the subword
+within its class, from the previous subword. Counts (subwords, pairs, words) come from all
 training documents; the attention part is trained in numpy, started on a few
 documents on the driver and then on all windows of every training document,
 partition by partition, with averaged parameters. Scoring cuts texts into
@@ -26,9 +27,11 @@ from docmill.llm.workspace import materialise
 
 SLICE_BYTES = 1 << 20
 CLASSES, WIDTH = 64, 16
+OWN_INPUTS = 192  # the most frequent subwords have an embedding of their own, others one for their class
+INPUTS = OWN_INPUTS + CLASSES
 LENGTH, STRIDE = 32, 16  # of a window, and how many targets it has
 START_DOCUMENTS = 600  # documents that the driver starts the attention on
-START_STEPS, STEP_WINDOWS = 700, 256
+START_STEPS, STEP_WINDOWS = 700, 512
 SCORE_WINDOWS = 512
 RATE = 0.004
 PAIRS = 1_000_000  # pair counts that travel with the scoring function; the rest is joined
@@ -45,7 +48,7 @@ DEFAULT_HELD_OUT = "crc32(CAST(doc_id AS STRING)) % 7 = 2"
 
 @dataclass
 class Attention:
-    """Trained parameters. Class index CLASSES stands for padding and gets no attention."""
+    """Trained parameters. Context subwords have an embedding each (Tables.input_of); the last one is padding and gets no attention."""
 
     query: np.ndarray
     key: np.ndarray
@@ -55,10 +58,10 @@ class Attention:
     distance: np.ndarray
 
     @classmethod
-    def start(cls, classes: int = CLASSES, width: int = WIDTH) -> Attention:
+    def start(cls, inputs: int = INPUTS, classes: int = CLASSES, width: int = WIDTH) -> Attention:
         rng = np.random.default_rng(7)
         make = lambda *shape: rng.normal(0, 0.3, shape).astype(np.float32)
-        return cls(make(classes + 1, width), make(classes + 1, width), make(classes + 1, width), 0.1 * make(width, classes), np.zeros(classes, np.float32), np.zeros((STRIDE, LENGTH), np.float32))
+        return cls(make(inputs + 1, width), make(inputs + 1, width), make(inputs + 1, width), 0.1 * make(width, classes), np.zeros(classes, np.float32), np.zeros((STRIDE, LENGTH), np.float32))
 
     def arrays(self) -> list[np.ndarray]:
         return [self.query, self.key, self.value, self.out, self.bias, self.distance]
@@ -74,56 +77,89 @@ class Attention:
         return Attention(*new)
 
 
-_CAUSAL = (np.arange(LENGTH)[None, :] <= np.arange(LENGTH - STRIDE, LENGTH)[:, None]).astype(np.float32)
+_CAUSAL = np.arange(LENGTH)[None, :] <= np.arange(LENGTH - STRIDE, LENGTH)[:, None]
 
 
-def attend(m: Attention, classes: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, tuple]:
-    """Class probabilities (windows, STRIDE, classes) and what the gradient needs.
-
-    classes: (windows, LENGTH) input classes; prior: log-odds from the previous subword.
-    """
-    q, k, v = m.query[classes[:, -STRIDE:]], m.key[classes], m.value[classes]
+def weights(m: Attention, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, keys, exp of the attention's logits up to a factor a row) of windows of inputs; what is later or padding has weight 0."""
+    q, k = np.take(m.query * np.float32(WIDTH**-0.5), inputs[:, -STRIDE:], axis=0), np.take(m.key, inputs, axis=0)
     w = q @ k.transpose(0, 2, 1)
-    w *= WIDTH**-0.5
-    w += m.distance
-    np.clip(w, -30, 30, out=w)
+    w += np.where(_CAUSAL, m.distance, np.float32(-np.inf))
+    padding = len(m.query) - 1
+    padded = np.flatnonzero(inputs[:, 0] == padding)  # a text's first windows
+    w[padded] += np.where(inputs[padded] == padding, np.float32(-np.inf), np.float32(0))[:, None, :]
+    _level(w, _longest(m.query) * _longest(m.key) * WIDTH**-0.5 + np.abs(m.distance).max())
     np.exp(w, out=w)
-    w *= _CAUSAL
-    w *= (classes != len(m.bias)).astype(np.float32)[:, None, :]
-    w /= np.maximum(w.sum(-1, keepdims=True), 1e-30)
+    return q, k, w
+
+
+def _longest(rows: np.ndarray) -> float:
+    return float(np.sqrt((rows * rows).sum(1).max()))
+
+
+def _level(x: np.ndarray, bound: float) -> None:
+    """Make the largest of each row 0 if exp might overflow; no value is larger than the bound, so that most often nothing is to be done."""
+    if bound > 60:
+        x -= x.max(-1, keepdims=True)
+
+
+def _class_logits(m: Attention, context: np.ndarray, prior: np.ndarray) -> np.ndarray:
+    logits = context.reshape(-1, WIDTH) @ m.out
+    logits += m.bias
+    logits += prior.reshape(logits.shape)
+    # Contexts are means of values, and log-odds don't exceed theirs.
+    _level(logits, _longest(m.value) * _longest(m.out.T) + float(np.abs(m.bias).max()) + float(prior.max()))
+    return logits
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums over the last axis, kept as an axis."""
+    return x @ np.ones((x.shape[-1], 1), np.float32)
+
+
+def attend(m: Attention, inputs: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, tuple]:
+    """exp of the class logits (windows, STRIDE, classes), still to be divided by their sum, and what the gradient needs.
+
+    inputs: (windows, LENGTH) embedding numbers; prior: log-odds from the previous subword.
+    """
+    q, k, w = weights(m, inputs)
+    v = np.take(m.value, inputs, axis=0)
+    w *= 1 / np.maximum(_sums(w), 1e-30)
     context = w @ v
-    p = (context.reshape(-1, WIDTH) @ m.out).reshape(*context.shape[:2], -1)
-    p += prior
-    p += m.bias
-    p -= p.max(-1, keepdims=True)
+    p = _class_logits(m, context, prior)
     np.exp(p, out=p)
-    p /= p.sum(-1, keepdims=True)
-    return p, (q, k, v, w, context)
+    return p.reshape(prior.shape), (q, k, v, w, context)
 
 
-def gradients(m: Attention, classes: np.ndarray, target: np.ndarray, live: np.ndarray, prior: np.ndarray) -> list[np.ndarray]:
+def gradients(m: Attention, inputs: np.ndarray, target: np.ndarray, live: np.ndarray, prior: np.ndarray) -> list[np.ndarray]:
     """Gradients of the mean loss over live targets, in the order of Attention.arrays()."""
-    p, (q, k, v, w, context) = attend(m, classes, prior)
-    n = max(live.sum(), 1)
-    rows, cols = np.ogrid[: p.shape[0], : p.shape[1]]
-    p[rows, cols, target] -= 1
-    p *= (live / n).astype(np.float32)[:, :, None]
+    p, (q, k, v, w, context) = attend(m, inputs, prior)
+    share = (live / max(live.sum(), 1)).astype(np.float32)
+    p *= share[:, :, None] / _sums(p)
     flat = p.reshape(-1, p.shape[2])
-    d_out, d_bias = context.reshape(-1, WIDTH).T @ flat, flat.sum(0)
+    flat[np.arange(len(flat)), target.ravel()] -= share.ravel()
+    d_out, d_bias = context.reshape(-1, WIDTH).T @ flat, np.ones(len(flat), np.float32) @ flat
     d_context = (flat @ m.out.T).reshape(context.shape)
-    d_w = d_context @ v.transpose(0, 2, 1)
     d_v = w.transpose(0, 2, 1) @ d_context
-    d_s = w * (d_w - (d_w * w).sum(-1, keepdims=True))
-    d_distance = d_s.sum(0)
-    d_s *= WIDTH**-0.5
+    d_s = d_context @ v.transpose(0, 2, 1)
+    d_s -= (d_context * context).sum(-1, keepdims=True)
+    d_s *= w
+    d_distance = (np.ones(len(d_s), np.float32) @ d_s.reshape(len(d_s), -1)).reshape(m.distance.shape)
     d_q, d_k = d_s @ k, d_s.transpose(0, 2, 1) @ q
+    d_q *= np.float32(WIDTH**-0.5)
+
+    def scattered(at: np.ndarray, *parts: np.ndarray) -> np.ndarray:
+        """Sums of the parts' rows by embedding."""
+        d = np.concatenate([x.reshape(-1, WIDTH) for x in parts], 1)
+        small = at.ravel().astype(np.int16)
+        order = np.argsort(small, kind="stable")
+        starts = np.flatnonzero(np.r_[True, np.diff(small[order]) != 0])
+        out = np.zeros((len(m.query), d.shape[1]), np.float32)
+        out[small[order[starts]]] = np.add.reduceat(np.take(d, order, axis=0), starts, axis=0)
+        return out
 
-    def scattered(at: np.ndarray, d: np.ndarray) -> np.ndarray:
-        hot = np.zeros((at.size, len(m.bias) + 1), np.float32)
-        hot[np.arange(at.size), at.ravel()] = 1
-        return hot.T @ d.reshape(-1, WIDTH)
-
-    return [scattered(classes[:, -STRIDE:], d_q), scattered(classes, d_k), scattered(classes, d_v), d_out, d_bias, d_distance]
+    both = scattered(inputs, d_k, d_v)
+    return [scattered(inputs[:, -STRIDE:], d_q), both[:, :WIDTH], both[:, WIDTH:], d_out, d_bias, d_distance]
 
 
 @dataclass
@@ -186,6 +222,7 @@ class Tables:
 
     end: int
     class_of: np.ndarray  # by id; the last entry (index -1) is the padding class
+    input_of: np.ndarray  # the embedding of each id in a context: own ones for the most frequent, one a class for others; the last entry is padding
     prior: np.ndarray  # log p(class | previous id), (ids, CLASSES)
     within: np.ndarray  # p(id | its class)
     pair_keys: PerfectHash
@@ -318,6 +355,14 @@ def cluster(total: np.ndarray, active: np.ndarray, after: np.ndarray, before: np
     return out
 
 
+def inputs_of(class_of: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Embedding numbers by id, the padding's last."""
+    out = OWN_INPUTS + class_of
+    own = np.argsort(-total, kind="stable")[:OWN_INPUTS]
+    out[own] = np.arange(len(own))
+    return out  # class CLASSES is padding and becomes INPUTS
+
+
 def totals_of(previous: np.ndarray, now: np.ndarray, n: np.ndarray, vocabulary: int) -> Totals:
     """Totals where all pairs are at hand."""
     total = np.bincount(now, weights=n, minlength=vocabulary)
@@ -381,7 +426,7 @@ def build_tables(pairs: pa.Table, end: int, vocabulary: int, totals: Totals | No
     at = hash_.positions(key.astype(np.uint64))
     check, count = np.full(max(len(key), 1), -1, np.int64), np.zeros(max(len(key), 1))
     check[at], count[at] = key, n
-    tables = Tables(end, class_of, prior.astype(np.float32), within, hash_, check, count, pair_class.astype(np.float32))
+    tables = Tables(end, class_of, inputs_of(class_of, t.now), prior.astype(np.float32), within, hash_, check, count, pair_class.astype(np.float32))
     tables.fill(previous, now, n)
     return tables
 
@@ -391,9 +436,8 @@ def build_tables(pairs: pa.Table, end: int, vocabulary: int, totals: Totals | No
 
 def train(m: Attention, tables: Tables, x: np.ndarray, y: np.ndarray, live: np.ndarray, adam: Adam, rate: float) -> Attention:
     """One step on a batch of windows of ids."""
-    classes = tables.class_of[x]
-    prior = tables.prior[x[:, -STRIDE:]]
-    return m.filled(m.flat() - adam.step(gradients(m, classes, tables.class_of[y] * live, live, prior), rate))
+    prior = np.take(tables.prior, x[:, -STRIDE:], axis=0, mode="wrap")
+    return m.filled(m.flat() - adam.step(gradients(m, tables.input_of[x], tables.class_of[y] * live, live, prior), rate))
 
 
 def start_training(tables: Tables, sequences: list[np.ndarray], steps: int = START_STEPS) -> Attention:
@@ -408,24 +452,15 @@ def start_training(tables: Tables, sequences: list[np.ndarray], steps: int = STA
     return m
 
 
-def log10_classes(m: Attention, classes: np.ndarray, prior: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """log10 of the probabilities that attend() gives the target classes, without making them all."""
-    q, k, v = m.query[classes[:, -STRIDE:]] * np.float32(WIDTH**-0.5), m.key[classes], m.value[classes]
-    w = q @ k.transpose(0, 2, 1)
-    w += m.distance
-    np.clip(w, -30, 30, out=w)
-    np.exp(w, out=w)
-    w *= _CAUSAL
-    padded = np.flatnonzero(classes[:, 0] == len(m.bias))
-    w[padded] *= (classes[padded] != len(m.bias))[:, None, :]
-    context = w @ v
-    context /= np.maximum(w @ np.ones((LENGTH, 1), np.float32), 1e-30)  # sums, faster so
-    logits = context.reshape(-1, WIDTH) @ m.out
-    logits += m.bias
-    logits += prior.reshape(logits.shape)
+def log10_classes(m: Attention, inputs: np.ndarray, prior: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """log10 of the probabilities that attend() gives the target classes."""
+    _, _, w = weights(m, inputs)
+    context = w @ np.take(m.value, inputs, axis=0)
+    context *= 1 / np.maximum(_sums(w), 1e-30)
+    logits = _class_logits(m, context, prior)
     picked = np.take(logits, np.arange(len(logits)) * logits.shape[1] + target.ravel())
     np.exp(logits, out=logits)
-    return ((picked - np.log(logits @ np.ones(logits.shape[1], np.float32))) / np.log(10)).reshape(target.shape)
+    return ((picked - np.log(_sums(logits)[:, 0])) / np.log(10)).reshape(target.shape)
 
 
 def rare_pairs(tables: Tables, sequence: np.ndarray) -> np.ndarray:
@@ -441,7 +476,7 @@ def log10_probabilities(m: Attention, tables: Tables, sequences: list[np.ndarray
     x, y, live, owner = windows(sequences, tables.end)
     for a in range(0, len(x), SCORE_WINDOWS):
         own, target, ok = x[a : a + SCORE_WINDOWS], y[a : a + SCORE_WINDOWS], live[a : a + SCORE_WINDOWS]
-        classes = log10_classes(m, tables.class_of[own], tables.prior[own[:, -STRIDE:]], tables.class_of[target] * ok)
+        classes = log10_classes(m, tables.input_of[own], np.take(tables.prior, own[:, -STRIDE:], axis=0, mode="wrap"), tables.class_of[target] * ok)
         logs = (classes + tables.emission((own[:, -STRIDE:] * ok).ravel(), (target * ok).ravel()).reshape(ok.shape)) * ok
         out += np.bincount(owner[a : a + SCORE_WINDOWS], weights=logs.sum(1), minlength=len(sequences))
     return out
@@ -626,7 +661,12 @@ def lm_scores(docs: DataFrame, tokenizer: str, *, held_out: str = DEFAULT_HELD_O
     A null text is empty: one token, its end. Rows of one id are scored and
     counted one by one; a row without an id is scored and not learned from. An
     empty table gives an empty result. Other columns of docs are not read.
+    Texts of any length are scored and learned from whole. Ids must fit 16
+    bits. Parameters are trained by partition and averaged, so scores (not the
+    base's) differ a little with how the table is split.
     """
+    if not 0 <= end < vocabulary <= 1 << 16:
+        raise ValueError("ids are kept as 16-bit numbers: vocabulary must not exceed 65536")
     spark: SparkSession = docs.sparkSession
     bounded_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

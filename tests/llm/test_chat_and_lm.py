@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,7 +148,7 @@ def test_every_target_of_a_training_document_is_trained_on(spark, tmp_path):
             return np.where(ids < 0, lm.CLASSES, ids % lm.CLASSES)
 
     class Tables:
-        end, class_of, prior = 999, Classes(), np.zeros((1000, lm.CLASSES), np.float32)
+        end, class_of, input_of, prior = 999, Classes(), np.r_[np.arange(1000) % lm.INPUTS, lm.INPUTS], np.zeros((1000, lm.CLASSES), np.float32)
 
     class Shared:
         value = Tables()
@@ -166,27 +167,78 @@ def test_context_and_classes():
 
 def test_gradients_agree_with_differences():
     rng = np.random.default_rng(1)
-    m = lm.Attention.start(5, lm.WIDTH)
-    classes = rng.integers(0, 5, (3, lm.LENGTH))
-    classes[0, :5] = 5  # padding leads
+    m = lm.Attention.start(7, 5, lm.WIDTH)
+    inputs = rng.integers(0, 7, (3, lm.LENGTH))
+    inputs[0, :5] = 7  # padding leads
     target, live = rng.integers(0, 5, (3, lm.STRIDE)), rng.random((3, lm.STRIDE)) < 0.8
     prior = rng.normal(size=(3, lm.STRIDE, 5)).astype(np.float32)
 
+    def probabilities(m):
+        p, _ = lm.attend(m, inputs, prior)
+        return p / p.sum(-1, keepdims=True)
+
     def loss(flat):
-        p, _ = lm.attend(m.filled(flat), classes, prior)
-        picked = np.take_along_axis(p, target[:, :, None], 2)[:, :, 0]
+        picked = np.take_along_axis(probabilities(m.filled(flat)), target[:, :, None], 2)[:, :, 0]
         return float(-(np.log(picked) * live).sum() / live.sum())
 
     flat = m.flat()
-    g = np.concatenate([x.ravel() for x in lm.gradients(m, classes, target, live, prior)])
+    g = np.concatenate([x.ravel() for x in lm.gradients(m, inputs, target, live, prior)])
     for k in rng.choice(len(flat), 40, replace=False):
         up, down = flat.copy(), flat.copy()
         up[k] += 1e-2
         down[k] -= 1e-2
         assert abs((loss(up) - loss(down)) / 2e-2 - g[k]) < 2e-3
-    p, _ = lm.attend(m, classes, prior)
-    assert np.allclose(p.sum(-1), 1, atol=1e-5)
-    assert np.allclose(lm.log10_classes(m, classes, prior, target), np.log10(np.take_along_axis(p, target[:, :, None], 2)[:, :, 0]), atol=1e-3)
+    p = probabilities(m)
+    assert np.allclose(lm.log10_classes(m, inputs, prior, target), np.log10(np.take_along_axis(p, target[:, :, None], 2)[:, :, 0]), atol=1e-3)
+
+
+def small_tables(seed, vocabulary=50):
+    rng = np.random.default_rng(seed)
+    pairs = np.unique(rng.integers(0, vocabulary * vocabulary, 300))
+    return lm.build_tables(pa.table({"pair": pairs, "n": rng.integers(1, 20, len(pairs))}), vocabulary - 1, vocabulary)
+
+
+@pytest.mark.parametrize("size", [1, 300])
+def test_scores_equal_a_loop_over_targets(size):
+    rng = np.random.default_rng(6)
+    tables, m = small_tables(3), lm.Attention.start()
+    m = m.filled(size * rng.normal(0, 0.5, m.flat().size))  # exp of large ones overflows
+    sequences = [rng.integers(0, 49, n).astype(np.uint16) for n in (0, 1, 16, 47)]
+
+    def log10(s):
+        ids, total = [tables.end, *s.tolist(), tables.end], 0.0
+        for k in range(1, len(ids)):
+            place = (k - 1) % lm.STRIDE  # of the target in its window
+            first = max(0, k - place - 1 - (lm.LENGTH - lm.STRIDE))
+            seen = ids[first:k]
+            columns = np.arange(lm.LENGTH - lm.STRIDE + place - len(seen) + 1, lm.LENGTH - lm.STRIDE + place + 1)
+            e = tables.input_of[seen]
+            w = m.key[e].astype(float) @ m.query[e[-1]] / lm.WIDTH**0.5 + m.distance[place, columns]
+            w = np.exp(w - w.max())
+            logits = (w / w.sum()) @ m.value[e] @ m.out + m.bias + tables.prior[ids[k - 1]]
+            logits -= logits.max()
+            c = tables.class_of[ids[k]]
+            total += (logits[c] - np.log(np.exp(logits).sum())) / np.log(10) + tables.emission(np.array([ids[k - 1]]), np.array([ids[k]]))[0]
+        return total
+
+    assert np.allclose(lm.log10_probabilities(m, tables, sequences), [log10(s) for s in sequences], rtol=1e-3)
+
+
+def test_frequent_subwords_have_embeddings_of_their_own():
+    total = np.arange(1000)
+    inputs = lm.inputs_of(np.r_[np.arange(1000) % lm.CLASSES, lm.CLASSES], total)
+    assert sorted(inputs[1000 - lm.OWN_INPUTS : 1000]) == list(range(lm.OWN_INPUTS))
+    assert inputs[5] == lm.OWN_INPUTS + 5 and inputs[-1] == lm.INPUTS
+
+
+def test_held_out_texts_score_better_than_the_word_counts(spark):
+    rows = lm.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), public_tokenizers.path("word_bpe_49k.json")).filter("held_out").collect()
+    assert len(rows) > 100 and sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_ids_beyond_16_bits_are_refused(spark):
+    with pytest.raises(ValueError):
+        lm.lm_scores(table(spark, []), "unread", vocabulary=70_000)
 
 
 def test_probabilities_within_classes_sum_to_one():
