@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from docmill.llm.tasks import arrow_task, bounded_batches, free_name
 from docmill.llm.textkernel import LOWER, column_bytes, mix, row_slices, shingle_hashes, word_hashes, word_spans
@@ -177,38 +177,68 @@ def bucket_members(sketch: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(shared, "bucket").select("bucket", "band", "doc_id", "copies")
 
 
+def blocks_of(members: DataFrame) -> DataFrame:
+    """members with the block of each: (home, block), of about BLOCK members of the bucket.
+
+    A component of more than BLOCK members in a bucket is home to blocks of
+    its own; the others are dealt out whole, by hash. Counts come from partial
+    sums, so no task sees a whole bucket.
+    """
+    sizes = members.groupBy("bucket", "component").agg(F.count("*").alias("_n"))
+    rest = sizes.groupBy("bucket").agg(F.sum(F.when(F.col("_n") <= BLOCK, F.col("_n")).otherwise(0)).alias("_rest"))
+    sizes = sizes.join(rest, "bucket")
+    big = F.col("_n") > BLOCK
+    dealt = F.pmod(F.xxhash64(F.when(big, F.col("doc_id")).otherwise(F.col("component"))), F.ceil(F.when(big, F.col("_n")).otherwise(F.col("_rest")) / BLOCK))
+    home = F.when(big, F.col("component"))
+    return members.join(sizes, ["bucket", "component"]).select(*members.columns, home.alias("home"), F.concat_ws(":", home.cast("string"), F.lit(""), dealt.cast("string")).alias("block"))
+
+
 def links_in_blocks(members: DataFrame, sketch: DataFrame, sets: DataFrame, plan: Plan) -> DataFrame:
     """Confirmed links (a, b) between different components of a bucket.
 
-    members: (bucket, band, doc_id, component). A bucket is cut into blocks in
-    the order of components; blocks meet in pairs, except two blocks of the
-    same single component. A pair is looked at in its first common band only.
+    members: (bucket, band, doc_id, component). Blocks of a bucket meet in
+    pairs, except two blocks of the same component: first with signatures
+    alone, then with the full sets of those members that have a candidate. A
+    pair is looked at in its first common band only.
     """
     percent, agreement = plan.percent, plan.agreement
-    order = Window.partitionBy("bucket").orderBy("component", "doc_id")
-    cut = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    blocks = cut.groupBy("bucket", "block").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    one, two = blocks.select("bucket", F.col("block").alias("i"), "lo", "hi"), blocks.select("bucket", F.col("block").alias("j"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    meets = one.join(two, "bucket").filter("i <= j AND NOT (lo = hi AND lo2 = hi2 AND lo = lo2)").select("bucket", "i", "j")  # pairs of blocks, not of members
-    placed = meets.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(cut, ["bucket", "block"])
-    full = placed.join(sketch.select("doc_id", "bands", "signature"), "doc_id").join(sets, "doc_id")
-
-    def search(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        doc, component, block = (table.column(c).to_numpy() for c in ("doc_id", "component", "block"))
+    cut = materialise(blocks_of(members), "blocks")
+    blocks = cut.select("bucket", "block", "home").distinct()
+    one, two = blocks.select("bucket", F.col("block").alias("i"), "home"), blocks.select("bucket", F.col("block").alias("j"), F.col("home").alias("home2"))
+    meets = one.join(two, "bucket").filter("i <= j AND NOT coalesce(home = home2, false)").select("bucket", "i", "j")  # pairs of blocks, not of members
+    placed = meets.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")).join(cut.drop("home"), ["bucket", "block"])
+    signed = sketch.select("doc_id", "n_shingles", "bands", "signature")
+
+    def candidates(table: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+        """Members of block i, each with those of block j that may be linked with it."""
+        doc, component, n = (table.column(c).to_numpy() for c in ("doc_id", "component", "n_shingles"))
+        block = np.array(table.column("block").to_pylist())
         bands = np.array(table.column("bands").to_pylist(), np.int64)[:, : table.column("band")[0].as_py()]
         signature = np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("signature").chunk(0)])
-        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").chunk(0)]
-        n = np.array([len(s) for s in sets])
         i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        group = component.copy()
-        found = []
         for x in np.flatnonzero(block == i):
-            later = np.flatnonzero((block == j) & (group != group[x]) & ((doc > doc[x]) if i == j else True))
+            later = np.flatnonzero((block == j) & (component != component[x]) & ((doc > doc[x]) if i == j else True))
             later = later[100 * np.minimum(n[later], n[x]) >= percent * np.maximum(n[later], n[x])]
             later = later[(signature[later] == signature[x]).sum(1) >= agreement]
             if len(later) and bands.shape[1]:
                 later = later[~(bands[later] == bands[x]).any(1)]
+            if len(later):
+                yield x, later
+
+    def with_candidates(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        found = np.zeros(table.num_rows, bool)
+        for x, later in candidates(table):
+            found[x] = True
+            found[later] = True
+        return table.select(["bucket", "i", "j", "block", "band", "doc_id", "component"]).filter(pa.array(found))
+
+    def search(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        doc, group = table.column("doc_id").to_numpy(), table.column("component").to_numpy().copy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("shingles").chunk(0)]
+        found = []
+        for x, later in candidates(table):
             for y in later:
                 if group[x] != group[y] and linked(sets[x], sets[y], percent):
                     found.append((doc[x], doc[y]))
@@ -216,6 +246,9 @@ def links_in_blocks(members: DataFrame, sketch: DataFrame, sets: DataFrame, plan
         a, b = zip(*found) if found else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
+    schema = "bucket long, i string, j string, block string, band int, doc_id long, component long"
+    survivors = materialise(placed.join(signed, "doc_id").groupBy("bucket", "i", "j").applyInArrow(with_candidates, schema), "candidates")
+    full = survivors.join(signed.join(survivors.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id").join(sets, "doc_id")
     return full.groupBy("bucket", "i", "j").applyInArrow(search, "a long, b long")
 
 
