@@ -50,12 +50,13 @@ SORT_BYTES = 1 << 14  # of strings in one suffix array; a larger group of one an
 
 
 class Slice:
-    """Texts of one row of the packed table: `ids` and `valid` by row, bytes of row i at offsets[i]:offsets[i + 1]."""
+    """Texts of one row of the packed table: `ids` and `valid` by row, bytes of row i at offsets[i]:offsets[i + 1]; packed compresses data."""
 
     def __init__(self, part: int, parts: int, ids: bytes, valid: bytes, offsets: bytes, data: bytes):
         self.part, self.parts = part, parts
         self.ids, self.valid = np.frombuffer(ids, np.int64), np.frombuffer(valid, bool)
-        self.offsets, self.data = np.frombuffer(offsets, np.int64), np.frombuffer(data, np.uint8)
+        self.offsets = np.frombuffer(offsets, np.int64)
+        self.data = np.frombuffer(pa.decompress(data, int(self.offsets[-1]), "zstd", asbytes=True), np.uint8)
 
 
 SLICE = ("part", "parts", "ids", "valid", "offsets", "data")
@@ -87,7 +88,7 @@ def pack(docs: DataFrame, block_bytes: int, span: int) -> DataFrame:
                     parts = parts_of(own) if len(own) > SLICE_BYTES + span and y == x + 1 else [own]
                     for k, part in enumerate(parts):
                         at = offsets[x : y + 1] - offsets[x] if len(parts) == 1 else np.array([0, len(part)])
-                        row = (block, number, k, len(parts), ids[x:y].tobytes(), valid[x:y].tobytes(), at.astype(np.int64).tobytes(), part.tobytes())
+                        row = (block, number, k, len(parts), ids[x:y].tobytes(), valid[x:y].tobytes(), at.astype(np.int64).tobytes(), pa.compress(part.tobytes(), "zstd", asbytes=True))
                         number += 1
                         yield pa.RecordBatch.from_pydict({n: [v] for n, v in zip(("block", "slice", *SLICE), row, strict=True)}, packed_schema)
                     size += len(own)
@@ -550,7 +551,7 @@ def cut_texts(blocks: DataFrame, places: DataFrame, replies: DataFrame, tasks: i
                     for a, (p, g) in zip(at.tolist(), parts, strict=True):
                         data[a : a + len(g)] = p.data
                         all_gone[a : a + len(g)] |= g
-                    yield _told(Slice(0, 1, s.ids.tobytes(), s.valid.tobytes(), np.array([0, size]).tobytes(), data.tobytes()), all_gone)
+                    yield _told(Slice(0, 1, s.ids.tobytes(), s.valid.tobytes(), np.array([0, size]).tobytes(), pa.compress(data.tobytes(), "zstd", asbytes=True)), all_gone)
                     parts = []
 
     packed = ("numbers", "starts", "ends", "docs")
@@ -578,10 +579,10 @@ def drop_repeats(docs: DataFrame, *, span: int = SPAN, gram: int = GRAM, hot: in
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     tasks = min(MOST_TASKS, max(1, -(-total // TASK_BYTES)))
     shards = max(1, -(-total // SHARD_BYTES))
-    blocks = materialise(pack(rows, min(max(total // BLOCKS, LEAST_BLOCK), MOST_BLOCK), span), "blocks", compression="zstd")
+    blocks = materialise(pack(rows, min(max(total // BLOCKS, LEAST_BLOCK), MOST_BLOCK), span), "blocks")
     shared = materialise(repeated_anchors(send_anchors(blocks, shards, span, gram), min(MOST_TASKS, shards), hot), "shared-anchors")
     cuts = materialise(cut_segments(blocks, shared, SEGMENT_SHARDS * shards, tasks, span, gram), "segments", compression="zstd")
     discard(shared)
     sent, places = cuts.filter("shard IS NOT NULL"), cuts.filter("shard IS NULL")
-    replies = materialise(find_holders(sent, min(MOST_TASKS, SEGMENT_SHARDS * shards), span), "holders")
+    replies = materialise(find_holders(sent, min(MOST_TASKS, SEGMENT_SHARDS * shards), span), "holders", compression="zstd")
     return cut_texts(blocks, places.select("block", "slice", "numbers", "keys", "sizes"), replies, tasks, span)
