@@ -15,6 +15,7 @@ from docmill.functions.expressions import compile_expression, needs_whole, typed
 from docmill.functions.paths import Scope, quoted, resolve, split_path
 from docmill.operators import shaping, windows
 from docmill.operators.filters import compile_filter
+from docmill.sources.shared import materialise
 
 BINS = 1000  # ranges in which running totals are made
 
@@ -344,21 +345,22 @@ def lookup(df, spec, context):
     other = _other(spec["from"], context)
     local, kind = resolve(context.scope(df), spec["localField"])
     foreign, fkind = resolve(Scope(other), spec["foreignField"])
-    docs = other.select(foreign.alias("_fk"), _document(other).alias("_doc"))
+    docs = other.select(foreign.alias("_fk"), _document(other).alias("_doc"), F.monotonically_increasing_id().alias("_number"))
     if isinstance(fkind, T.ArrayType):
-        docs = docs.select(F.explode_outer(F.array_distinct("_fk")).alias("_fk"), "_doc")
+        docs = docs.select(F.explode_outer(F.array_distinct("_fk")).alias("_fk"), "_doc", "_number")
     lists = docs.groupBy("_fk").agg(F.collect_list("_doc").alias("_docs"))
     empty = F.array().cast(T.ArrayType(other.schema))
     if not isinstance(kind, T.ArrayType):
         keyed = df.withColumn("_lk", local)
         out = keyed.join(lists, keyed["_lk"].eqNullSafe(lists["_fk"]), "left").drop("_lk", "_fk")
         return _placed(out, df, as_, F.coalesce("_docs", empty)).drop("_docs")
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    keys = rows.select("_row", F.explode(F.array_distinct(local)).alias("_lk"))
-    met = keys.join(docs, keys["_lk"].eqNullSafe(docs["_fk"])).select("_row", "_doc").distinct()
-    found = met.groupBy("_row").agg(F.collect_list("_doc").alias("_docs"))
-    out = rows.join(found, "_row", "left")
-    return _placed(out, df, as_, F.coalesce("_docs", empty)).drop("_docs", "_row")
+    # What is found depends on the array alone, so arrays stand for their rows; a foreign row counts once for each.
+    keyed = df.withColumn("_keys", local)
+    keys = keyed.select("_keys").distinct().select("_keys", F.explode(F.array_distinct("_keys")).alias("_lk"))
+    met = keys.join(docs, keys["_lk"].eqNullSafe(docs["_fk"])).dropDuplicates(["_keys", "_number"])
+    found = met.groupBy(F.col("_keys").alias("_found")).agg(F.collect_list("_doc").alias("_docs"))
+    out = keyed.join(found, F.col("_keys").eqNullSafe(F.col("_found")), "left")
+    return _placed(out, df, as_, F.coalesce("_docs", empty)).drop("_docs", "_keys", "_found")
 
 
 def _placed(out: DataFrame, df: DataFrame, as_: str, value: Column) -> DataFrame:
@@ -370,10 +372,13 @@ def _lookup_pipeline(df, spec, context):
     scope, as_ = context.scope(df), spec["as"]
     pipeline = list(spec["pipeline"])
     other = _other(spec["from"], context)
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
-    names = {k: typed(v, scope) for k, v in spec.get("let", {}).items()}
+    rows, names = df, {k: typed(v, scope) for k, v in spec.get("let", {}).items()}
     for k, (c, _) in names.items():
         rows = rows.withColumn(f"_let_{k}", c)
+    # What is found depends on the variables alone, so their values stand for their rows.
+    standing = [F.col(f"_let_{k}") for k in names] + ([resolve(scope, spec["localField"])[0]] if "localField" in spec else [])
+    numbered = any(isinstance(t, T.MapType | T.VariantType) for _, t in names.values())
+    rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered") if numbered else rows.withColumn("_row", F.struct(*standing) if standing else F.lit(0))
     conditions = []
     while pipeline and "$match" in pipeline[0]:
         conditions.append(pipeline.pop(0)["$match"])
@@ -391,13 +396,14 @@ def _lookup_pipeline(df, spec, context):
         on = on & compile_filter(_prefixed(query), Scope(side.select("*", *[F.lit(None).cast(t).alias(f"_let_{k}") for k, (_, t) in names.items()]), inner.vars))
     if "localField" in spec:
         on = on & resolve(scope, spec["localField"])[0].eqNullSafe(quoted(f"_f_{spec['foreignField']}"))
-    met = rows.select("_row", *[f"_let_{k}" for k in names], *([quoted(spec["localField"])] if "localField" in spec else [])).join(side, on)
+    met = rows.select("_row", *[f"_let_{k}" for k in names], *([quoted(spec["localField"])] if "localField" in spec else []))
+    met = (met if numbered else met.distinct()).join(side, on)
     back = met.select("_row", *[f"_let_{k}" for k in names], *[quoted(f"_f_{c}").alias(c) for c in other.columns])
     shaped = run_pipeline(back, [_keeping(s, ["_row", *[f"_let_{k}" for k in names]]) for s in pipeline], inner)
     doc = F.struct(*[quoted(c) for c in shaped.columns if c != "_row" and not c.startswith("_let_")])
     kind = shaped.select(doc.alias("d")).schema[0].dataType
-    found = shaped.groupBy("_row").agg(F.collect_list(doc).alias("_docs"))
-    out = rows.join(found, "_row", "left").drop(*[f"_let_{k}" for k in names])
+    found = shaped.groupBy(F.col("_row").alias("_found")).agg(F.collect_list(doc).alias("_docs"))
+    out = rows.join(found, F.col("_row").eqNullSafe(F.col("_found")), "left").drop("_found", *[f"_let_{k}" for k in names])
     return _placed(out, df, as_, F.coalesce("_docs", F.array().cast(T.ArrayType(kind)))).drop("_docs", "_row")
 
 
@@ -456,8 +462,8 @@ def matched(df, spec, context):
 
 
 def _cut(df):
-    """df computed once, without its lineage: plans of many steps would double with each."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df computed once, written and reread: plans of many steps would double with each."""
+    return materialise(df, "steps")
 
 
 @stage("$graphLookup")
@@ -465,15 +471,15 @@ def graph_lookup(df, spec, context):
     """Documents reachable from startWith, step by step; each once, with its least depth if asked for."""
     other = _other(spec["from"], context)
     depth_field, most = spec.get("depthField"), spec.get("maxDepth")
-    rows = df.withColumn("_row", F.monotonically_increasing_id())
     start, kind = typed(spec["startWith"], context.scope(df))
+    rows = df.withColumn("_row", start)  # what is found depends on the start alone, so starts stand for their rows
     values = F.explode(start) if isinstance(kind, T.ArrayType) else start
     if "restrictSearchWithMatch" in spec:
         other = other.filter(compile_filter(spec["restrictSearchWithMatch"], Scope(other)))
     target, _ = resolve(Scope(other), spec["connectToField"])
     origin, origin_kind = resolve(Scope(other), spec["connectFromField"])
     nodes = other.select(target.alias("_to"), origin.alias("_from"), _document(other).alias("_doc"))
-    frontier = rows.select("_row", values.alias("_value")).distinct()
+    frontier = rows.select("_row", values.alias("_value")).distinct().filter("_value IS NOT NULL")
     found = None
     # Without maxDepth until nothing new is met: each step adds a document or is the last.
     for depth in itertools.count() if most is None else range(most + 1):
@@ -494,7 +500,7 @@ def graph_lookup(df, spec, context):
     if found is None:
         return rows.drop("_row").withColumn(spec["as"], F.array().cast(T.ArrayType(other.schema)))
     lists = found.groupBy("_row").agg(F.collect_list(as_doc).alias("_docs"))
-    out = rows.join(lists, "_row", "left").drop("_row")
+    out = rows.join(lists.withColumnRenamed("_row", "_start"), F.col("_row").eqNullSafe(F.col("_start")), "left").drop("_row", "_start")
     return out.withColumn(spec["as"], F.coalesce("_docs", F.array().cast(out.schema["_docs"].dataType))).drop("_docs")
 
 

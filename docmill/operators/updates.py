@@ -20,15 +20,21 @@ NAMES = ("$set", "$unset", "$inc", "$mul", "$min", "$max", "$rename", "$currentD
 def marked_one(df: DataFrame, hit: Column, sort: dict | None) -> DataFrame:
     """df with _one on a single matching row: the first by sort, else by its values.
 
-    The row is found by a top-1 over the matches, not by ordering the table;
-    rows equal in every column count as one.
+    The row is found by a top-1 over the matches, not by ordering the table.
+    Of rows equal in every column one is marked: they are counted, and come
+    back as one with the mark and the rest without.
     """
     keys = sort_order(sort, Scope(df)) if sort else []
     order = [V.descending_last(c, d) for c, d in keys] + [quoted(f.name).asc_nulls_first() for f in df.schema.fields if V.value_class(f.dataType) not in ("any",) and not isinstance(f.dataType, T.MapType)]
-    mark = F.xxhash64(*[quoted(c) for c in df.columns])
-    one = df.filter(hit).orderBy(*order).limit(1).select(mark.alias("_mark"))
-    joined = df.withColumn("_mark", mark).join(one.withColumn("_one", F.lit(True)), "_mark", "left")
-    return joined.withColumn("_one", F.coalesce(F.col("_one"), F.lit(False))).drop("_mark")
+    plain = [quoted(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType | T.VariantType)]
+    mark = F.xxhash64(*plain)
+    one = df.filter(hit).orderBy(*order).limit(1).select(mark.alias("_mark"), F.struct(*plain).alias("_top"))
+    joined = df.withColumn("_mark", mark).join(F.broadcast(one.withColumnRenamed("_mark", "_hash")), F.col("_mark") == F.col("_hash"), "left")  # one row
+    same = F.coalesce(F.struct(*plain).eqNullSafe(F.col("_top")) & F.col("_hash").isNotNull(), F.lit(False)) & definite(hit)
+    columns = [quoted(c) for c in df.columns]
+    equal = joined.filter(same).agg(F.first(F.struct(*columns)).alias("_row"), F.count("*").alias("_n")).filter("_n > 0")
+    equal = equal.select("_row.*", F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_i")).select(*columns, (F.col("_i") == 1).alias("_one"))
+    return joined.filter(~same).select(*columns, F.lit(False).alias("_one")).unionByName(equal)
 
 
 def update(df: DataFrame, query: dict, change: dict | list, context, *, multi: bool, upsert: bool, sort: dict | None, array_filters: list[dict]) -> DataFrame:

@@ -162,11 +162,10 @@ def match_type(t):
 # --- shaping ---
 
 
-@query("SELECT o_orderkey, o_totalprice, round(o_totalprice * 1.1, 6) AS with_tax, o_orderstatus AS status FROM orders WHERE o_orderkey < 100")
+@query("SELECT o_orderkey, o_totalprice, round(o_totalprice * 1.1, 6) AS with_tax, o_orderstatus AS status FROM orders")
 def project_incl_excl(t):
     return t.orders.aggregate(
         [
-            {"$match": {"o_orderkey": {"$lt": 100}}},
             {"$project": {"o_orderkey": 1, "o_totalprice": 1, "with_tax": {"$round": [{"$multiply": ["$o_totalprice", 1.1]}, 6]}, "status": "$o_orderstatus", "o_orderdate": "$o_orderdate"}},
             {"$project": {"o_orderdate": 0}},
         ]
@@ -214,13 +213,12 @@ def unwind_plain(t):
     return t.orders.aggregate([*_PUSHED, {"$unwind": "$keys"}])
 
 
-@query("SELECT vec_id, i - 1 AS i, round(CAST(e AS DOUBLE), 4) AS embedding FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings) WHERE vec_id < 20")
+@query("SELECT vec_id, i - 1 AS i, CAST(e AS DOUBLE) AS embedding FROM (SELECT vec_id, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS i FROM embeddings)")
 def unwind_index(t):
     return t.embeddings.aggregate(
         [
-            {"$match": {"vec_id": {"$lt": 20}}},
             {"$unwind": {"path": "$embedding", "includeArrayIndex": "i"}},
-            {"$project": {"vec_id": 1, "i": 1, "embedding": {"$round": [{"$toDouble": "$embedding"}, 4]}}},
+            {"$project": {"vec_id": 1, "i": 1, "embedding": {"$toDouble": "$embedding"}}},
         ]
     )
 
@@ -424,11 +422,10 @@ def lookup_pipeline(t):
     )
 
 
-@query("SELECT n_regionkey, list_sort(list(r_name)) AS names FROM nation JOIN region ON r_regionkey IN (n_regionkey, 0) WHERE n_nationkey < 10 GROUP BY n_nationkey, n_regionkey")
+@query("SELECT n_regionkey, list_sort(list(r_name)) AS names FROM nation JOIN region ON r_regionkey IN (n_regionkey, 0) GROUP BY n_nationkey, n_regionkey")
 def lookup_local_array(t):
     return t.nation.aggregate(
         [
-            {"$match": {"n_nationkey": {"$lt": 10}}},
             {"$project": {"n_regionkey": 1, "both": ["$n_regionkey", 0]}},
             {"$lookup": {"from": "region", "localField": "both", "foreignField": "r_regionkey", "as": "r"}},
             {"$project": {"n_regionkey": 1, "names": {"$sortArray": {"input": "$r.r_name", "sortBy": 1}}}},
@@ -556,15 +553,11 @@ def win_cov_deriv_integral(t):
     return out
 
 
-@query(
-    "WITH RECURSIVE n AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events WHERE user_id < 20), "
-    "e AS (SELECT event_id, user_id, i, value AS s FROM n WHERE i = 1 UNION ALL SELECT n.event_id, n.user_id, n.i, n.value * 0.5 + e.s * 0.5 FROM e JOIN n ON n.user_id = e.user_id AND n.i = e.i + 1) SELECT event_id, s AS ema FROM e"
-)
+@query("SELECT event_id, list_reduce(list(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), lambda s, v: v * 0.5 + s * 0.5) AS ema FROM events")
 def win_ema(t):
     return t.events.aggregate(
         [
-            {"$match": {"user_id": {"$lt": 20}}},
-            {"$setWindowFields": {"partitionBy": "$user_id", "sortBy": {"ts": 1}, "output": {"ema": {"$expMovingAvg": {"input": "$value", "N": 3}}}}},
+            {"$setWindowFields": {"partitionBy": "$user_id", "sortBy": {"ts": 1, "event_id": 1}, "output": {"ema": {"$expMovingAvg": {"input": "$value", "N": 3}}}}},
             {"$project": {"event_id": 1, "ema": 1}},
         ]
     )
@@ -742,8 +735,8 @@ def expr_date(t):
     )
 
 
-_LINES = [{"$match": {"l_orderkey": {"$lt": 500}}}, {"$group": {"_id": "$l_orderkey", "q": {"$push": {"$toInt": "$l_quantity"}}}}, {"$set": {"q": {"$sortArray": {"input": "$q", "sortBy": 1}}}}]
-_LINES_SQL = "WITH g AS (SELECT l_orderkey AS _id, list_sort(list(CAST(l_quantity AS INT))) AS q FROM lineitem WHERE l_orderkey < 500 GROUP BY 1) "
+_LINES = [{"$group": {"_id": "$l_orderkey", "q": {"$push": {"$toInt": "$l_quantity"}}}}, {"$set": {"q": {"$sortArray": {"input": "$q", "sortBy": 1}}}}]
+_LINES_SQL = "WITH g AS (SELECT l_orderkey AS _id, list_sort(list(CAST(l_quantity AS INT))) AS q FROM lineitem GROUP BY 1) "
 
 
 @query(

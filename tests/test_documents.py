@@ -362,3 +362,25 @@ def test_graph_lookup_without_max_depth_follows_the_whole_chain(spark, monkeypat
     for more, n in (({}, 20), ({"maxDepth": 2}, 3)):
         (row,) = starts.aggregate([{"$graphLookup": lookup | more}]).collect()
         assert sorted((d.depth, d.node) for d in row.path) == [(k, (5 + k) % 20) for k in range(n)]
+
+
+def test_one_of_several_equal_rows_goes(spark):
+    from docmill.plans.collection import Collection
+
+    rows = Collection(spark.createDataFrame([(1, "a"), (1, "a"), (1, "a"), (2, "b")], "k int, s string"))
+    left = lambda c: sorted((r.k, r.s) for r in c.df.collect())
+    assert left(rows.delete({"k": 1}, limit=1)) == [(1, "a"), (1, "a"), (2, "b")]
+    assert left(rows.delete({"k": 9}, limit=1)) == left(rows)
+    assert left(rows.update({"k": 1}, {"$set": {"s": "z"}})) == [(1, "a"), (1, "a"), (1, "z"), (2, "b")]
+
+
+def test_lookups_keep_repeated_rows(spark):
+    from docmill.plans.collection import Collection
+
+    foreign = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y")], "id int, v string")
+    local = Collection(spark.createDataFrame([(1, [1, 2, 1]), (1, [1, 2, 1]), (2, None), (3, [])], "k int, ids array<int>"), {"f": foreign})
+    got = local.aggregate([{"$lookup": {"from": "f", "localField": "ids", "foreignField": "id", "as": "out"}}]).collect()
+    assert sorted((r.k, sorted(d.v for d in r.out)) for r in got) == [(1, ["x", "x", "y"]), (1, ["x", "x", "y"]), (2, []), (3, [])]
+    pipeline = [{"$match": {"$expr": {"$eq": ["$id", "$$k"]}}}]
+    got = local.aggregate([{"$lookup": {"from": "f", "let": {"k": "$k"}, "pipeline": pipeline, "as": "out"}}]).collect()
+    assert sorted((r.k, [d.v for d in r.out]) for r in got) == [(1, ["x", "x"]), (1, ["x", "x"]), (2, ["y"]), (3, [])]
