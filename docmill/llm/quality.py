@@ -26,6 +26,7 @@ BITS = 16  # of each hashed family: words and word pairs; character n-grams
 CHAR_N = 4
 MAX_LABELLED = 4000  # labelled rows the classifier may see; the only bounded sample here
 STEPS, RATE, DECAY = 150, 0.3, 1e-5
+PART = 500_000  # features that a step looks at together
 CALIBRATION_SHARE = 5  # one labelled row of so many is kept for calibration
 THRESHOLD = 0.2  # kept: the calibrated probability of good quality is at least this
 MIN_WORDS, MAX_REPEAT_PERCENT, REPEAT_WINDOW = 50, 50, 3
@@ -178,11 +179,14 @@ def labelled_features(docs: DataFrame, labels: DataFrame, max_labelled: int) ->
 def _descend(index: np.ndarray, value: np.ndarray, row: np.ndarray, y: np.ndarray, weigh: np.ndarray, size: int) -> tuple[np.ndarray, float]:
     """Weighted logistic regression by Adam steps on the whole (bounded) sample."""
     w, bias = np.zeros(size), 0.0
+    parts = [slice(a, a + PART) for a in range(0, len(index), PART)]  # so that what a step makes stays small
     m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
     for step in range(1, STEPS + 1):
-        margin = np.bincount(row, weights=w[index] * value, minlength=len(y)) + bias
+        margin = sum((np.bincount(row[p], weights=w[index[p]] * value[p], minlength=len(y)) for p in parts), np.zeros(len(y))) + bias
         err = weigh * (1 / (1 + np.exp(-np.clip(margin, -50, 50))) - y)
-        g, gb = np.bincount(index, weights=err[row] * value, minlength=size) + DECAY * w, err.sum()
+        g, gb = DECAY * w, err.sum()
+        for p in parts:
+            g += np.bincount(index[p], weights=err[row[p]] * value[p], minlength=size)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**step, 1 - 0.999**step
@@ -208,18 +212,19 @@ def _calibrate(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
     """Fit on at most max_labelled rows of labels (doc_id, quality). Without rows of both classes everything is good."""
-    rows = sorted(labelled_features(docs, labels, max_labelled).collect(), key=lambda r: r.doc_id)
+    table = labelled_features(docs, labels, max_labelled).toArrow()  # at most max_labelled rows
+    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable").tolist()
     size = 2 << BITS
-    y = np.array([r.label for r in rows], float)
+    y = table.column("label").to_numpy()[order].astype(float)
     if len(set(y.tolist())) < 2:
         return Classifier(np.zeros(size), 20.0)
-    index = [np.frombuffer(r.buckets, np.int32) for r in rows]
-    value = [np.frombuffer(r.shares, np.float32) for r in rows]
-    held = np.array([i % CALIBRATION_SHARE == 0 for i in range(len(rows))])
+    index = [np.frombuffer(table.column("buckets")[i].as_buffer(), np.int32) for i in order]
+    value = [np.frombuffer(table.column("shares")[i].as_buffer(), np.float32) for i in order]
+    held = np.arange(len(order)) % CALIBRATION_SHARE == 0
     use = np.flatnonzero(~held)
     weigh = np.where(y == 1, 0.5 / max((y[use] == 1).sum(), 1), 0.5 / max((y[use] == 0).sum(), 1))
     lengths = [len(index[i]) for i in use]
-    w, bias = _descend(np.concatenate([index[i] for i in use]), np.concatenate([value[i] for i in use]).astype(float), np.repeat(np.arange(len(use)), lengths), y[use], weigh[use], size)
+    w, bias = _descend(np.concatenate([index[i] for i in use]), np.concatenate([value[i] for i in use]), np.repeat(np.arange(len(use), dtype=np.int32), lengths), y[use], weigh[use], size)
     margin = np.array([w[i] @ v for i, v in zip(index, value, strict=True)]) + bias
     a, b = _calibrate(margin[held], y[held])
     return Classifier(w.astype(np.float32), bias, a, b + prior_shift(labels, max_labelled))
