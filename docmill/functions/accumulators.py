@@ -13,6 +13,7 @@ from docmill.functions.paths import Scope, resolve
 
 Order = list[tuple[Column, int]]
 Builder = Callable[[Scope, object, Order], Column]
+Over = Callable[[Column], Column]
 _ACCUMULATORS: dict[str, Builder] = {}
 
 
@@ -71,11 +72,16 @@ def _compare_by(order_size: int, directions: list[int]) -> Callable[[Column, Col
     return cmp
 
 
-def _ordered(value: Column, order: Order) -> Column:
+def _group(aggregate: Column) -> Column:
+    """An aggregate over the group; window frames put their own function in this place."""
+    return aggregate
+
+
+def _ordered(value: Column, order: Order, over: Over = _group) -> Column:
     """All values of the group as an array in the given order."""
     if not order:
-        return F.collect_list(F.struct(value.alias("v")))
-    pairs = F.collect_list(F.struct(order_key(order).alias("key"), value.alias("v")))
+        return over(F.collect_list(F.struct(value.alias("v"))))
+    pairs = over(F.collect_list(F.struct(order_key(order).alias("key"), value.alias("v"))))
     return F.array_sort(pairs, _compare_by(len(order), [d for _, d in order]))
 
 
@@ -83,15 +89,15 @@ def _values(pairs: Column) -> Column:
     return F.transform(pairs, lambda p: p["v"])
 
 
-def _edge(value: Column, order: Order, last: bool) -> Column:
+def _edge(value: Column, order: Order, last: bool, over: Over = _group) -> Column:
     """First or last value: min_by/max_by where the keys all go one way, which needs no sorting of the group."""
     if not order:
-        return F.last(value) if last else F.first(value)
+        return over(F.last(value) if last else F.first(value))
     if len(_directions(order)) == 1:
         up = order[0][1] > 0
         f = F.max_by if up == last else F.min_by
-        return f(F.struct(value.alias("v")), order_key(order))["v"]
-    pairs = _ordered(value, order)
+        return over(f(F.struct(value.alias("v")), order_key(order)))["v"]
+    pairs = _ordered(value, order, over)
     return (F.try_element_at(pairs, F.lit(-1)) if last else F.get(pairs, F.lit(0)))["v"]
 
 
@@ -168,29 +174,19 @@ def _last_n(scope, operand, order):
     return F.slice(all_, F.greatest(F.size(all_) - n + 1, F.lit(1)), F.lit(n))
 
 
-@accumulator("$top")
-def _top(scope, operand, order):
-    p = _n_parts("$top", operand, ("sortBy", "output"))
-    return _edge(compile_expression(p["output"], scope), sort_order(p["sortBy"], scope), False)
-
-
-@accumulator("$bottom")
-def _bottom(scope, operand, order):
-    p = _n_parts("$bottom", operand, ("sortBy", "output"))
-    return _edge(compile_expression(p["output"], scope), sort_order(p["sortBy"], scope), True)
+def picked(name: str, operand: object, scope: Scope, over: Over = _group) -> Column:
+    """$top, $bottom, $topN and $bottomN of a group or a window frame."""
+    one = name in ("$top", "$bottom")
+    p = _n_parts(name, operand, ("sortBy", "output") if one else ("sortBy", "output", "n"))
+    value, order = compile_expression(p["output"], scope), sort_order(p["sortBy"], scope)
+    if one:
+        return _edge(value, order, name == "$bottom", over)
+    all_, n = _values(_ordered(value, order, over)), _number(p, name)
+    return F.slice(all_, 1, n) if name == "$topN" else F.slice(all_, F.greatest(F.size(all_) - n + 1, F.lit(1)), F.lit(n))
 
 
-@accumulator("$topN")
-def _top_n(scope, operand, order):
-    p = _n_parts("$topN", operand, ("sortBy", "output", "n"))
-    return F.slice(_values(_ordered(compile_expression(p["output"], scope), sort_order(p["sortBy"], scope))), 1, _number(p, "$topN"))
-
-
-@accumulator("$bottomN")
-def _bottom_n(scope, operand, order):
-    p = _n_parts("$bottomN", operand, ("sortBy", "output", "n"))
-    all_, n = _values(_ordered(compile_expression(p["output"], scope), sort_order(p["sortBy"], scope))), _number(p, "$bottomN")
-    return F.slice(all_, F.greatest(F.size(all_) - n + 1, F.lit(1)), F.lit(n))
+for _name in ("$top", "$bottom", "$topN", "$bottomN"):
+    _ACCUMULATORS[_name] = lambda scope, operand, order, name=_name: picked(name, operand, scope)
 
 
 @accumulator("$minN")
@@ -216,8 +212,7 @@ def _add_to_set(scope, operand, order):
     return F.collect_set(compile_expression(operand, scope))
 
 
-@accumulator("$mergeObjects")
-def _merge_objects(scope, operand, order):
+def merged_objects(operand: object, scope: Scope, order: Order, over: Over = _group) -> Column:
     column, kind = typed(operand, scope)
     if not isinstance(kind, T.StructType):
         raise DocumentError(40400, "$mergeObjects requires object inputs")
@@ -225,10 +220,15 @@ def _merge_objects(scope, operand, order):
     parts = []
     for f in kind.fields:
         value = column.getField(f.name)
-        parts.append((F.max_by(value, F.when(value.isNotNull(), key)) if key is not None else F.last(value, ignorenulls=True)).alias(f.name))
+        parts.append(over(F.max_by(value, F.when(value.isNotNull(), key)) if key is not None else F.last(value, ignorenulls=True)).alias(f.name))
     return F.struct(*parts)
 
 
+@accumulator("$mergeObjects")
+def _merge_objects(scope, operand, order):
+    return merged_objects(operand, scope, order)
+
+
 @accumulator("$stdDevPop")
 def _std_pop(scope, operand, order):
     return F.stddev_pop(compile_expression(operand, scope))

@@ -44,6 +44,10 @@ def compile_filter(query: object, scope: Scope) -> Column:
             from docmill.operators.search import text_match
 
             parts.append(text_match(operand, scope))
+        elif key == "$sampleRate":
+            if isinstance(operand, bool) or not isinstance(operand, (int, float)) or not 0 <= operand <= 1:
+                raise bad_value(f"$sampleRate needs a number between 0 and 1, got {operand!r}")
+            parts.append(F.rand() < F.lit(float(operand)))
         elif key == "$where":
             raise bad_value("$where is not supported")
         elif key.startswith("$"):

@@ -157,15 +157,18 @@ def unwind(df, spec, context):
 def sort(df, spec, context):
     if not isinstance(spec, dict) or not spec:
         raise DocumentError(15976, "$sort stage must have at least one sort key")
-    scope = context.scope(df)
-    keys = []
+    return df.orderBy(*sort_keys(df, spec, context))
+
+
+def sort_keys(df: DataFrame, spec: dict, context: Context) -> list[Column]:
+    scope, keys = context.scope(df), []
     for path, how in spec.items():
         if isinstance(how, dict) and how.get("$meta") == "textScore":
             keys.append(F.col("_score").desc())
             continue
         direction = V.sort_direction(how)
         keys.append(V.descending_last(V.sort_value(*resolve(scope, path), direction), direction))
-    return df.orderBy(*keys)
+    return keys
 
 
 @stage("$limit")
@@ -383,11 +386,8 @@ def _lookup_pipeline(df, spec, context):
     while pipeline and "$match" in pipeline[0]:
         conditions.append(pipeline.pop(0)["$match"])
     inner = replace(context, vars={**context.vars, **{k: (F.col(f"_let_{k}"), t) for k, (_, t) in names.items()}}, order=())
-    per_document = all(next(iter(s)) in ("$project", "$addFields", "$set", "$unset", "$replaceRoot", "$replaceWith") for s in pipeline)
-    if not per_document and (conditions or names):
-        raise DocumentError(238, "a $lookup pipeline with variables and stages over several documents")
-    if not per_document:
-        found = run_pipeline(other, pipeline, replace(context, order=()))
+    if not standing:  # every row gets the same documents
+        found = run_pipeline(other, list(spec["pipeline"]), replace(context, order=()))
         one = found.agg(F.collect_list(_document(found)).alias("_docs"))
         return _placed(rows.join(one), df, as_, F.col("_docs")).drop("_docs", "_row")
     side = other.select(*[quoted(c).alias(f"_f_{c}") for c in other.columns])
@@ -399,14 +399,62 @@ def _lookup_pipeline(df, spec, context):
     met = rows.select("_row", *[f"_let_{k}" for k in names], *([quoted(spec["localField"])] if "localField" in spec else []))
     met = (met if numbered else met.distinct()).join(side, on)
     back = met.select("_row", *[f"_let_{k}" for k in names], *[quoted(f"_f_{c}").alias(c) for c in other.columns])
-    shaped = run_pipeline(back, [_keeping(s, ["_row", *[f"_let_{k}" for k in names]]) for s in pipeline], inner)
-    doc = F.struct(*[quoted(c) for c in shaped.columns if c != "_row" and not c.startswith("_let_")])
+    kept = ["_row", *[f"_let_{k}" for k in names]]
+    shaped = _within_rows(back, pipeline, kept, inner)
+    doc = F.struct(*[quoted(c) for c in shaped.columns if c not in (*kept, "_at")])
     kind = shaped.select(doc.alias("d")).schema[0].dataType
-    found = shaped.groupBy(F.col("_row").alias("_found")).agg(F.collect_list(doc).alias("_docs"))
+    docs = F.collect_list(doc)
+    if "_at" in shaped.columns:
+        docs = F.transform(F.array_sort(F.collect_list(F.struct("_at", doc.alias("d"))), lambda a, b: a["_at"] - b["_at"]), lambda x: x["d"])
+    found = shaped.groupBy(F.col("_row").alias("_found")).agg(docs.alias("_docs"))
     out = rows.join(found, F.col("_row").eqNullSafe(F.col("_found")), "left").drop("_found", *[f"_let_{k}" for k in names])
     return _placed(out, df, as_, F.coalesce("_docs", F.array().cast(T.ArrayType(kind)))).drop("_docs", "_row")
 
 
+#: Stages of a correlated pipeline that look at one document at a time.
+_ONE_BY_ONE = {"$match", "$addFields", "$set", "$unset", "$project", "$unwind", "$redact"}
+
+
+def _within_rows(df: DataFrame, pipeline: list[dict], kept: list[str], context: Context) -> DataFrame:
+    """Stages on the documents that each _row met: order, number and groups are made within a row.
+
+    After a $sort or $limit the column _at has the documents' places.
+    """
+    stages = []
+    for item in pipeline:
+        name, spec = stage_of(item)
+        if name == "$sortByCount":
+            stages += [("$group", {"_id": spec, "count": {"$sum": 1}}), ("$sort", {"count": -1})]
+        elif name == "$count":
+            stages += [("$group", {"_id": None, spec: {"$sum": 1}}), ("$unset", "_id")]
+        else:
+            stages.append((name, spec))
+    for name, spec in stages:
+        hidden = [*kept, *(["_at"] if "_at" in df.columns else [])]
+        document = F.struct(*[quoted(c) for c in df.columns if c not in hidden])
+        root = (document, T.StructType([f for f in df.schema.fields if f.name not in hidden]))
+        inner = replace(context, vars={**context.vars, "ROOT": root, "CURRENT": root}, order=(("_at", 1),) if "_at" in df.columns else (), flatten_id=False)
+        within = Window.partitionBy("_row")
+        if name == "$sort":
+            df = df.withColumn("_at", F.row_number().over(within.orderBy(*sort_keys(df, spec, inner))))
+        elif name in ("$limit", "$skip"):
+            n = needs_whole(spec, name, 1 if name == "$limit" else 0)
+            df = df.withColumn("_at", F.row_number().over(within.orderBy("_at" if "_at" in df.columns else F.lit(0))))
+            df = df.filter(F.col("_at") <= n if name == "$limit" else F.col("_at") > n)
+        elif name == "$group":
+            by = {"row": "$_row"} if spec.get("_id") is None else {"row": "$_row", "id": spec["_id"]}
+            df = group(df, {**spec, "_id": by, **{k: {"$first": f"${k}"} for k in kept[1:]}}, inner)
+            df = df.withColumn("_row", F.col("_id.row")).withColumn("_id", F.col("_id.id") if "id" in by else F.lit(None))
+        elif name in ("$replaceRoot", "$replaceWith"):
+            made = compile_expression(spec["newRoot"] if name == "$replaceRoot" else spec, inner.scope(df))
+            df = df.select(*hidden, made.alias("_made")).select(*hidden, "_made.*")
+        elif name in _ONE_BY_ONE:
+            df = run_pipeline(df, [_keeping({name: spec}, hidden)], inner)
+        else:
+            raise DocumentError(238, f"{name} in a $lookup pipeline with variables")
+    return df
+
+
 def _keeping(item: dict, names: list[str]) -> dict:
     """An inclusive $project that also keeps the bookkeeping columns."""
     if "$project" in item:

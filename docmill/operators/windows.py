@@ -9,7 +9,7 @@ from pyspark.sql.window import WindowSpec
 
 from docmill.errors import DocumentError, bad_value
 from docmill.functions import values as V
-from docmill.functions.accumulators import compile_accumulator, sort_order
+from docmill.functions.accumulators import compile_accumulator, merged_objects, picked, sort_order
 from docmill.functions.expressions import compile_expression, kind_of
 from docmill.functions.paths import Scope, quoted, resolve
 
@@ -174,8 +174,10 @@ def _over(column: Column, frame: Frame, name: str, operand: object) -> Column:
         if name in ("$minN", "$maxN"):
             values = F.sort_array(values, name == "$minN")
         return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), F.lit(n)) if name == "$lastN" else F.slice(values, 1, n)
-    if name in ("$top", "$bottom", "$topN", "$bottomN", "$mergeObjects"):
-        raise DocumentError(238, f"{name} over a window")
+    if name in ("$top", "$bottom", "$topN", "$bottomN"):
+        return picked(name, operand, scope, lambda aggregate: aggregate.over(frame.spec))
+    if name == "$mergeObjects":
+        return merged_objects(operand, scope, [], lambda aggregate: aggregate.over(frame.spec))
     return column.over(frame.spec)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from docmill.plans.collection import Collection
+from docmill.plans.collection import Collection, Database
 from docmill.sources.documents import dynamic
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "labels")
@@ -924,6 +924,251 @@ def geo_near(t):
     return t.customer.aggregate([_PLACES, {"$geoNear": near}, {"$project": {"c_custkey": 1, "metres": {"$toLong": {"$round": ["$metres", 0]}}}}])
 
 
+# --- further expressions, accumulators and commands ---
+
+
+@query(
+    "SELECT event_id, year(ts) AS y, month(ts) AS mo, day(ts) AS d, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s, CAST(epoch_us(ts) // 1000 % 1000 AS INT) AS ms, minute(ts) AS minute_, second(ts) AS second_, CAST(epoch_us(ts) // 1000 % 1000 AS INT) AS milli, "
+    "epoch_us(ts) // 1000 AS back FROM events"
+)
+def expr_date_fields(t):
+    return t.events.aggregate(
+        [
+            {"$set": {"p": {"$dateToParts": {"date": "$ts"}}, "again": {"$toDate": {"$toLong": "$ts"}}}},
+            {
+                "$project": {
+                    "event_id": 1,
+                    "y": "$p.year",
+                    "mo": "$p.month",
+                    "d": "$p.day",
+                    "h": "$p.hour",
+                    "mi": "$p.minute",
+                    "s": "$p.second",
+                    "ms": "$p.millisecond",
+                    "minute_": {"$minute": "$ts"},
+                    "second_": {"$second": "$ts"},
+                    "milli": {"$millisecond": "$ts"},
+                    "back": {"$toLong": "$again"},
+                }
+            },
+        ]
+    )
+
+
+@query(
+    "SELECT doc_id, ltrim(concat('  ', lang, 'xx'), ' ') AS l, rtrim(concat(lang, 'xyx'), 'xy') AS r, substr(source, 2, 3) AS sub, substr(source, 2, 3) AS sub_bytes, strpos(source, 'e') - 1 AS at, strlen(coalesce(text, '')) AS size FROM documents"
+)
+def expr_bytes(t):
+    return t.documents.aggregate(
+        [
+            {
+                "$project": {
+                    "doc_id": 1,
+                    "l": {"$ltrim": {"input": {"$concat": ["  ", "$lang", "xx"]}}},
+                    "r": {"$rtrim": {"input": {"$concat": ["$lang", "xyx"]}, "chars": "xy"}},
+                    "sub": {"$substr": ["$source", 1, 3]},
+                    "sub_bytes": {"$substrBytes": ["$source", 1, 3]},
+                    "at": {"$indexOfBytes": ["$source", "e"]},
+                    "size": {"$binarySize": {"$ifNull": ["$text", ""]}},
+                }
+            }
+        ]
+    )
+
+
+@query(
+    _LINES_SQL + "SELECT _id, list_transform(range(1, len(q) + 1), lambda i: [q[i], list_reverse(q)[i]]) AS pairs, true AS is_array, false AS no_array, CAST(q[1] AS INT) AS lo, CAST(q[-1] AS INT) AS hi, q[greatest(len(q) - 1, 1):] AS tail FROM g"
+)
+def expr_array_build(t):
+    return t.lineitem.aggregate(
+        [
+            *_LINES,
+            {"$set": {"o": {"$arrayToObject": [[{"k": "lo", "v": {"$first": "$q"}}, {"k": "hi", "v": {"$last": "$q"}}]]}}},
+            {
+                "$project": {
+                    "pairs": {"$zip": {"inputs": ["$q", {"$reverseArray": "$q"}]}},
+                    "is_array": {"$isArray": "$q"},
+                    "no_array": {"$isArray": "$_id"},
+                    "lo": "$o.lo",
+                    "hi": "$o.hi",
+                    "tail": {"$lastN": {"input": "$q", "n": 2}},
+                }
+            },
+        ]
+    )
+
+
+@query("SELECT s_suppkey, s_nationkey AS k, NULL AS dropped, hex(unhex(lpad(CAST(s_suppkey AS VARCHAR), 24, '0'))) AS oid, 5 + (11 + 8) + (8 + 5 + strlen(s_name)) + (13 + 4) + (11 + 8) AS size FROM supplier")
+def expr_fields_sizes(t):
+    padded = {"$concat": ["000000000000000000000000", {"$toString": "$s_suppkey"}]}
+    return t.supplier.aggregate(
+        [
+            {"$set": {"doc": {"$unsetField": {"field": "tag", "input": {"k": "$s_nationkey", "tag": "x"}}}, "size": {"$bsonSize": "$$ROOT"}, "padded": padded}},
+            {"$set": {"oid": {"$toObjectId": {"$substrCP": ["$padded", {"$subtract": [{"$strLenCP": "$padded"}, 24]}, 24]}}}},
+            {"$project": {"s_suppkey": 1, "k": "$doc.k", "dropped": "$doc.tag", "oid": "$oid", "size": 1}},
+        ]
+    ).withColumn("oid", F.hex("oid")).withColumn("dropped", F.lit(None).cast("int"))
+
+
+@query(
+    "SELECT c_nationkey AS _id, list(c_custkey ORDER BY c_custkey)[greatest(count(*) - 2, 1):] AS last3, max_by(c_name, c_custkey) AS bottom FROM customer GROUP BY 1"
+)
+def group_last_bottom(t):
+    return t.customer.aggregate(
+        [
+            {"$sort": {"c_custkey": 1}},
+            {"$group": {"_id": "$c_nationkey", "last3": {"$lastN": {"input": "$c_custkey", "n": 3}}, "bottom": {"$bottom": {"sortBy": {"c_custkey": 1}, "output": "$c_name"}}}},
+        ]
+    )
+
+
+@query(
+    "SELECT c_custkey, round(covar_samp(c_acctbal, c_custkey) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS cov FROM customer"
+)
+def win_cov_samp(t):
+    window = {"partitionBy": "$c_nationkey", "sortBy": {"c_custkey": 1}, "output": {"cov": {"$covarianceSamp": ["$c_acctbal", "$c_custkey"], "window": {"documents": ["unbounded", "current"]}}}}
+    return t.customer.aggregate([{"$setWindowFields": window}, {"$project": {"c_custkey": 1, "cov": {"$round": ["$cov", 0]}}}])
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice <= 50000 AND o_orderdate <= TIMESTAMP '1997-01-01'")
+def match_lte_comment(t):
+    return t.orders.find({"o_totalprice": {"$lte": 50000}, "o_orderdate": {"$lte": dt.datetime(1997, 1, 1)}, "$comment": "cheap and old"}, {"_id": 0, "o_orderkey": 1, "o_totalprice": 1}, limit=0)
+
+
+@query(_LINES_SQL + "SELECT _id, [list_filter(q, lambda x: x > 30)[1]] AS q FROM g WHERE list_max(q) > 30")
+def project_positional(t):
+    lines = t.lineitem.aggregate(_LINES)
+    return Collection(lines).find({"q": {"$gt": 30}}, {"_id": 1, "q.$": 1})
+
+
+@query("SELECT 100 AS pct, least(count(*), 1000000) AS n, 0 AS outside FROM supplier")
+def sample_rand(t):
+    whole = t.supplier.aggregate([{"$match": {"$expr": {"$gte": [{"$rand": {}}, 0]}}}, {"$match": {"$sampleRate": 1.0}}, {"$sample": {"size": 1000000}}])
+    return Collection(whole).aggregate([{"$set": {"r": {"$rand": {}}}}, {"$group": {"_id": None, "n": {"$sum": 1}, "outside": {"$sum": {"$cond": [{"$gte": ["$r", 1]}, 1, 0]}}}}, {"$project": {"_id": 0, "n": 1, "outside": 1, "pct": {"$literal": 100}}}])
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation UNION ALL SELECT 1000, 'NEW', NULL")
+def insert_documents(t):
+    return t.nation.insert([{"n_nationkey": 1000, "n_name": "NEW"}]).df
+
+
+@query("SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'ONLY' ELSE n_name END AS n_name, CASE WHEN n_nationkey = 3 THEN NULL ELSE n_regionkey END AS n_regionkey FROM nation")
+def replace_document(t):
+    return t.nation.replace_one({"n_nationkey": 3}, {"n_nationkey": 3, "n_name": "ONLY"}).df
+
+
+@query("SELECT c_custkey, c_name, CASE WHEN c_nationkey < 5 THEN NULL ELSE c_acctbal END AS c_acctbal, c_nationkey < 5 AS stamped FROM customer")
+def update_unset_current_date(t):
+    done = t.customer.update_many({"c_nationkey": {"$lt": 5}}, {"$unset": {"c_acctbal": ""}, "$currentDate": {"seen": True}})
+    return done.aggregate([{"$project": {"c_custkey": 1, "c_name": 1, "c_acctbal": 1, "stamped": {"$ne": ["$seen", None]}}}])
+
+
+@query("SELECT s_nationkey AS _id, count(*) AS n, round(sum(s_acctbal), 2) AS total FROM supplier WHERE s_acctbal > 0 GROUP BY 1")
+def view_create_commands(t):
+    """Create a view, rename it, list it, then query it by command documents."""
+    db = Database(t.spark, {"supplier": t.df("supplier")})
+    db.run_command({"create": "rich", "viewOn": "supplier", "pipeline": [{"$match": {"s_acctbal": {"$gt": 0}}}]})
+    db.run_command({"renameCollection": "db.rich", "to": "db.solvent"})
+    db.run_command({"createIndexes": "solvent", "indexes": [{"key": {"s_suppkey": 1}, "unique": True}]})
+    db.run_command({"dropIndexes": "solvent", "index": "s_suppkey_1"})
+    db.run_command({"drop": "supplier"})
+    stages = [{"$group": {"_id": "$s_nationkey", "n": {"$sum": 1}, "total": {"$sum": "$s_acctbal"}}}, {"$set": {"total": {"$round": ["$total", 2]}}}]
+    return db.run_command({"aggregate": "solvent", "pipeline": stages, "cursor": {}})
+
+
+@query("SELECT 'gone' AS name, 'collection' AS type WHERE false UNION ALL SELECT unnest(['nation', 'region']), 'collection'")
+def list_collections(t):
+    db = Database(t.spark, {n: t.df(n) for n in ("nation", "region", "part")})
+    db.run_command({"drop": "part"})
+    return db.run_command({"listCollections": 1, "nameOnly": True})
+
+
+@query("SELECT '_id_' AS name, '_id:1' AS key, false AS \"unique\", CAST(NULL AS BIGINT) AS \"expireAfterSeconds\" UNION ALL SELECT 'n_nationkey_1', 'n_nationkey:1', true, NULL UNION ALL SELECT 'old', 'ts:1', false, 3600")
+def list_indexes(t):
+    db = Database(t.spark, {"nation": t.df("nation")})
+    db.run_command({"createIndexes": "nation", "indexes": [{"key": {"n_nationkey": 1}, "unique": True}, {"key": {"ts": 1}, "name": "old", "expireAfterSeconds": 3600}]})
+    return db.run_command({"listIndexes": "nation"})
+
+
+@query("SELECT event_id FROM events WHERE false")
+def ttl_unexpired(t):
+    """A TTL index of one second leaves nothing of a table of past events."""
+    db = Database(t.spark, {"events": t.df("events")})
+    db.run_command({"createIndexes": "events", "indexes": [{"key": {"ts": 1}, "expireAfterSeconds": 1}]})
+    return db.unexpired("events").df.select("event_id")
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def validate_count(t):
+    return Database(t.spark, {"lineitem": t.df("lineitem")}).run_command({"validate": "lineitem"})
+
+
+@query(_PLACES_SQL + "SELECT c_custkey FROM a WHERE (c_custkey * 37) % 360 - 180 BETWEEN -20 AND 60 AND (c_custkey * 17) % 180 - 90 BETWEEN -30 AND 45")
+def geo_intersects(t):
+    ring = [[-20.5, -30.5], [60.5, -30.5], [60.5, 45.5], [-20.5, 45.5], [-20.5, -30.5]]
+    return t.customer.aggregate([_PLACES, {"$match": {"place": {"$geoIntersects": {"$geometry": {"type": "Polygon", "coordinates": [ring]}}}}}, {"$project": {"c_custkey": 1}}])
+
+
+@query("SELECT c_custkey, o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM customer JOIN orders ON o_custkey = c_custkey WHERE o_totalprice > 1000 GROUP BY 1, 2")
+def lookup_pipeline_group(t):
+    stages = [
+        {"$match": {"$expr": {"$and": [{"$eq": ["$o_custkey", "$$key"]}, {"$gt": ["$o_totalprice", 1000]}]}}},
+        {"$group": {"_id": "$o_orderstatus", "n": {"$sum": 1}, "total": {"$sum": "$o_totalprice"}}},
+    ]
+    return t.customer.aggregate(
+        [
+            {"$lookup": {"from": "orders", "let": {"key": "$c_custkey"}, "pipeline": stages, "as": "by"}},
+            {"$unwind": "$by"},
+            {"$project": {"c_custkey": 1, "status": "$by._id", "n": "$by.n", "total": {"$round": ["$by.total", 2]}}},
+        ]
+    )
+
+
+@query("SELECT n_nationkey, coalesce(list(c_custkey ORDER BY c_acctbal DESC, c_custkey) FILTER (c_custkey IS NOT NULL), [])[1:3] AS top, count(c_custkey) AS n FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def lookup_pipeline_top(t):
+    richest = [{"$match": {"$expr": {"$eq": ["$c_nationkey", "$$key"]}}}, {"$sort": {"c_acctbal": -1, "c_custkey": 1}}, {"$limit": 3}, {"$project": {"c_custkey": 1}}]
+    counted = [{"$match": {"$expr": {"$eq": ["$c_nationkey", "$$key"]}}}, {"$count": "n"}]
+    return t.nation.aggregate(
+        [
+            {"$lookup": {"from": "customer", "let": {"key": "$n_nationkey"}, "pipeline": richest, "as": "rich"}},
+            {"$lookup": {"from": "customer", "let": {"key": "$n_nationkey"}, "pipeline": counted, "as": "all"}},
+            {"$project": {"n_nationkey": 1, "top": "$rich.c_custkey", "n": {"$ifNull": [{"$first": "$all.n"}, 0]}}},
+        ]
+    )
+
+
+@query(
+    "SELECT c_custkey, list_reverse_sort(list(c_acctbal) OVER w)[1:2] AS best, arg_max(c_custkey, c_acctbal) OVER w AS top, arg_min(c_custkey, c_acctbal) OVER w AS bottom, list_sort(list(c_acctbal) OVER w)[1:2] AS least FROM customer "
+    "WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+)
+def win_top(t):
+    frame, by = {"window": {"documents": [-4, 0]}}, {"c_acctbal": -1}
+    output = {
+        "best": {"$topN": {"n": 2, "sortBy": by, "output": "$c_acctbal"}, **frame},
+        "top": {"$top": {"sortBy": by, "output": "$c_custkey"}, **frame},
+        "bottom": {"$bottom": {"sortBy": by, "output": "$c_custkey"}, **frame},
+        "least": {"$bottomN": {"n": 2, "sortBy": by, "output": "$c_acctbal"}, **frame},
+    }
+    return t.customer.aggregate(
+        [
+            {"$setWindowFields": {"partitionBy": "$c_nationkey", "sortBy": {"c_custkey": 1}, "output": output}},
+            {"$project": {"c_custkey": 1, "best": 1, "top": 1, "bottom": 1, "least": {"$reverseArray": "$least"}}},
+        ]
+    )
+
+
+@query("SELECT c_custkey, c_nationkey AS nation, last_value(c_acctbal) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS balance FROM customer")
+def win_merge_objects(t):
+    merged = {"$mergeObjects": "$part", "window": {"documents": ["unbounded", "current"]}}
+    return t.customer.aggregate(
+        [
+            {"$set": {"part": {"nation": "$c_nationkey", "balance": "$c_acctbal"}}},
+            {"$setWindowFields": {"partitionBy": "$c_nationkey", "sortBy": {"c_custkey": 1}, "output": {"all": merged}}},
+            {"$project": {"c_custkey": 1, "nation": "$all.nation", "balance": "$all.balance"}},
+        ]
+    )
+
+
 # --- writes ---
 
 

@@ -384,3 +384,41 @@ def test_lookups_keep_repeated_rows(spark):
     pipeline = [{"$match": {"$expr": {"$eq": ["$id", "$$k"]}}}]
     got = local.aggregate([{"$lookup": {"from": "f", "let": {"k": "$k"}, "pipeline": pipeline, "as": "out"}}]).collect()
     assert sorted((r.k, [d.v for d in r.out]) for r in got) == [(1, ["x", "x"]), (1, ["x", "x"]), (2, ["y"]), (3, [])]
+
+
+def test_lookup_pipelines_order_number_and_group_within_a_row(spark):
+    from docmill.plans.collection import Collection
+
+    foreign = spark.createDataFrame([(1, "x", 5), (1, "y", 7), (1, "x", 6), (2, "y", None), (None, "z", 1)], "id int, v string, n int")
+    local = Collection(spark.createDataFrame([(1,), (1,), (2,), (3,), (None,)], "k int"), {"f": foreign})
+
+    def run(*stages):
+        own = {"$match": {"$expr": {"$eq": ["$id", "$$k"]}}}
+        rows = local.aggregate([{"$lookup": {"from": "f", "let": {"k": "$k"}, "pipeline": [own, *stages], "as": "out"}}]).collect()
+        got = {r.k: [tuple(d) for d in r.out] for r in rows}
+        assert len(rows) == 5 and got[3] == []
+        return got
+
+    assert run({"$sort": {"n": -1}}, {"$skip": 1}, {"$limit": 1}, {"$project": {"n": 1}}) == {1: [(6,)], 2: [], 3: [], None: []}
+    assert run({"$sort": {"n": 1}}, {"$group": {"_id": None, "a": {"$first": "$n"}}})[1] == [(None, 5)]
+    assert run({"$sortByCount": "$v"})[1] == [("x", 2), ("y", 1)]
+    assert run({"$count": "c"})[1] == [(3,)]
+    assert run({"$sort": {"n": 1}}, {"$limit": 1}, {"$replaceWith": {"all": "$$ROOT"}})[1][0][0].asDict() == {"id": 1, "v": "x", "n": 5}
+    assert run({"$group": {"_id": {"v": "$v"}, "s": {"$sum": "$n"}}}, {"$match": {"s": {"$gt": 8}}})[1] == [(("x",), 11)]
+    with pytest.raises(DocumentError) as e:
+        run({"$facet": {"a": []}})
+    assert e.value.code == 238
+
+
+def test_sample_rates_and_picks_over_frames(spark):
+    from docmill.plans.collection import Collection
+
+    rows = Collection(spark.createDataFrame([(1, 3, "a"), (2, None, "b"), (3, 5, "c")], "k int, n int, s string"))
+    assert (rows.find({"$sampleRate": 1}).count(), rows.find({"$sampleRate": 0}).count()) == (3, 0)
+    for rate in (1.5, -1, "x", True):
+        with pytest.raises(DocumentError):
+            rows.find({"$sampleRate": rate})
+    frame = {"window": {"documents": ["unbounded", "current"]}}
+    output = {"top": {"$top": {"sortBy": {"n": -1, "s": 1}, "output": "$s"}, **frame}, "low": {"$bottomN": {"n": 2, "sortBy": {"n": -1}, "output": "$s"}, **frame}}
+    got = rows.aggregate([{"$setWindowFields": {"sortBy": {"k": 1}, "output": output}}]).collect()
+    assert sorted((r.k, r.top, r.low) for r in got) == [(1, "a", ["a"]), (2, "a", ["a", "b"]), (3, "c", ["a", "b"])]
