@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -16,6 +17,9 @@ from docmill.functions.paths import Scope, quoted, resolve
 #: Milliseconds of the time units of frames and rates.
 UNIT_MILLIS = {"week": 604_800_000, "day": 86_400_000, "hour": 3_600_000, "minute": 60_000, "second": 1000, "millisecond": 1}
 
+SPREAD = 1e100  # of the weights within a block of a moving average
+ENDS = 7  # blocks back: what older ones leave is below the smallest double
+
 
 def _unit(name: str) -> int:
     if name not in UNIT_MILLIS:
@@ -80,13 +84,33 @@ def _shift(f: Frame, a: dict) -> Column:
     return F.lead(value, by, default).over(f.ordered) if by >= 0 else F.lag(value, -by, default).over(f.ordered)
 
 
-def _ema(f: Frame, a: dict) -> Column:
-    """v * alpha + previous * (1 - alpha), from the first value on."""
+def _moving_average(df: DataFrame, f: Frame, a: dict, name: str) -> tuple[DataFrame, Column]:
+    """v * alpha + previous * (1 - alpha), from the first value on; df gets the columns that the result is made of.
+
+    Values are weighted by powers of 1 / (1 - alpha) and summed in blocks, so short that the weights stay within
+    SPREAD; blocks before one's own add what is left of their ends. A null leaves the average as it was; after
+    an infinite or NaN value it stays so.
+    """
     alpha = 2 / (a["N"] + 1) if "N" in a else a["alpha"]
     if not 0 < alpha < 1 and "alpha" in a:
         raise DocumentError(5433601, "alpha must be between 0 and 1")
-    values = F.collect_list(compile_expression(a["input"], f.scope).cast("double")).over(f.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return F.aggregate(F.slice(values, 2, F.greatest(F.size(values) - 1, F.lit(0))), F.get(values, F.lit(0)), lambda s, v: v * alpha + s * (1 - alpha))
+    keep = 1 - alpha
+    block = 1 + int(math.log(SPREAD) / -math.log(keep)) if keep else 1
+    at, own, end = (f"{name}_{x}" for x in ("at", "own", "end"))
+    so_far = f.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    value = compile_expression(a["input"], f.scope).cast("double")
+    number, place = F.floor((F.col(at) - 1) / block), (F.col(at) - 1) % block
+    term = value * F.when(F.col(at) == 1, 1.0).otherwise(alpha) * F.pow(F.lit(keep), -place if keep else F.lit(0))
+    within = Window.partitionBy(*f.by, number).orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    df = df.withColumn(at, F.count(value).over(so_far))
+    df = df.withColumn(own, F.sum(term).over(within) * F.pow(F.lit(keep), place))
+    df = df.withColumn(end, F.when(place == block - 1, F.col(own)))
+    earlier = Window.partitionBy(*f.by).orderBy(number)
+    carry = F.lit(0.0)
+    for back in range(ENDS, 0, -1):
+        carry = F.coalesce(F.max(end).over(earlier.rangeBetween(-back, -back)), F.lit(0.0)) + carry * keep**block
+    lasting = F.sum(F.when(value.isin(float("inf"), float("-inf"), float("nan")), value)).over(so_far)
+    return df, F.when(F.col(at) > 0, F.coalesce(lasting, F.col(own) + F.pow(F.lit(keep), place + 1) * carry))
 
 
 def _derivative(f: Frame, a: dict) -> Column:
@@ -130,7 +154,6 @@ _OPERATORS: dict[str, Callable[[Frame, object], Column]] = {
     "$denseRank": lambda f, a: F.dense_rank().over(f.ordered),
     "$documentNumber": lambda f, a: F.row_number().over(f.ordered),
     "$shift": _shift,
-    "$expMovingAvg": _ema,
     "$derivative": _derivative,
     "$integral": _integral,
     "$covariancePop": lambda f, a: _covariance(f, a, False),
@@ -142,7 +165,7 @@ _NEED_ORDER = {"$rank", "$denseRank", "$documentNumber", "$shift", "$expMovingAv
 
 
 def window_operator_names() -> list[str]:
-    return sorted(_OPERATORS)
+    return sorted([*_OPERATORS, "$expMovingAvg"])
 
 
 def window_output(spec: dict, scope: Scope, stage: dict) -> Column:
@@ -186,9 +209,17 @@ def set_window_fields(df: DataFrame, stage: dict, scope_of: Callable[[DataFrame]
         raise DocumentError(40414, "$setWindowFields needs an output")
     from docmill.operators.shaping import put
 
-    scope = scope_of(df)
-    new = {path: window_output(spec, scope, stage) for path, spec in stage["output"].items()}
-    return put(df, new)
+    scope, columns = scope_of(df), df.columns
+    new = {}
+    for k, (path, spec) in enumerate(stage["output"].items()):
+        if [x for x in spec if x != "window"] == ["$expMovingAvg"]:
+            frame = Frame(scope, stage, spec.get("window"))
+            if not frame.order:
+                raise DocumentError(5371602, "$expMovingAvg needs a sortBy")
+            df, new[path] = _moving_average(df, frame, spec["$expMovingAvg"], f"_average{k}" + "_" * max(map(len, columns), default=0))
+        else:
+            new[path] = window_output(spec, scope, stage)
+    return put(df, new).drop(*[c for c in df.columns if c not in columns])
 
 
 def fill(df: DataFrame, stage: dict, scope_of: Callable[[DataFrame], Scope]) -> DataFrame:

@@ -347,6 +347,25 @@ def test_shapes(spark):
     assert ids(c.find({"loc": {"$near": {"$geometry": {"coordinates": [3, 3]}, "$maxDistance": 1000}}})) == [0]
 
 
+@pytest.mark.parametrize("how", [{"N": 3}, {"alpha": 0.9}, {"alpha": 0.02}, {"N": 1}])
+def test_moving_average_of_many_blocks(spark, monkeypatch, how):
+    monkeypatch.setattr("docmill.operators.windows.SPREAD", 1e6)
+    rows = [(i, i % 2, None if i % 7 in (0, 1) else float((i * 37) % 101 - 50)) for i in range(900)]
+    rows += [(1000 + i, 2, float("inf") if i == 20 else 1.0) for i in range(400)] + [(2000, 3, None)]
+    got = Collection(spark.createDataFrame(rows, "_id int, p int, v double")).aggregate(
+        [{"$setWindowFields": {"partitionBy": "$p", "sortBy": {"_id": 1}, "output": {"e": {"$expMovingAvg": {"input": "$v"} | how}, "n": {"$documentNumber": {}}}}}]
+    )
+    assert got.columns == ["_id", "p", "v", "e", "n"]
+    alpha, want = how.get("alpha") or 2 / (how["N"] + 1), {}
+    for p in range(4):
+        last = None
+        for i, _, v in (r for r in rows if r[1] == p):
+            if v is not None:
+                last = v if last is None else v * alpha + (last * (1 - alpha) if alpha < 1 else 0.0)
+            want[i] = float("inf") if p == 2 and i >= 1020 else last
+    assert {r._id: r.e for r in got.collect()} == {i: e if e is None else pytest.approx(e, rel=1e-9, abs=1e-9) for i, e in want.items()}
+
+
 def test_inventory():
     assert len(operator_names()) >= 138
     assert set(window_operator_names()) == {"$rank", "$denseRank", "$documentNumber", "$shift", "$expMovingAvg", "$derivative", "$integral", "$covariancePop", "$covarianceSamp", "$locf", "$linearFill"}
