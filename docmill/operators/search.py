@@ -63,7 +63,8 @@ def text_match(spec: dict, scope: Scope) -> Column:
     terms, phrases, excluded = _query(spec)
     df = scope.df.drop("_score") if "_score" in scope.df.columns else scope.df
     stems, whole = _stems(df), F.lower(F.concat_ws(" ", *_text_columns(df)))
-    parts = [F.arrays_overlap(stems, F.array(*[F.lit(t) for t in terms])) if terms else F.lit(False)]
+    # A word begins with its stem: texts that hold no stem as a part needn't be split.
+    parts = [V.any_of([F.contains(whole, F.lit(t)) for t in terms]) & F.arrays_overlap(stems, F.array(*[F.lit(t) for t in terms])) if terms else F.lit(False)]
     parts += [F.contains(whole, F.lit(p)) for p in phrases]
     parts += [~F.array_contains(stems, t) for t in excluded]
     return F.coalesce(V.all_of(parts), F.lit(False))
